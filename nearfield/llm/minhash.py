@@ -10,10 +10,11 @@
 3. Each list is joined to its smallest member, which is linear in the posts
    whatever a list's length; those pairs are confirmed on the full sets, and
    links are contracted to components.
-4. Lists that still hold several components are merged: signatures are compared
-   within the list and pairs of different components that match in `least`
-   coordinates are confirmed too. Lists over `block` members are split into
-   blocks and each pair of blocks is a task of its own. Nothing is capped.
+4. Members of all lists with the same smallest member are a group. Groups that
+   still hold several components are settled: pairs of different components are
+   compared on the full sets until none is left, and only the links that join
+   components leave the task. Groups over `block` members are split into blocks
+   and each pair of blocks is a task of its own. Nothing is capped.
 
 With J = 0.75, 64 coordinates and least = 30 the chance to miss a pair is below
 one in a million; what is kept is exact, as links are confirmed on full sets.
@@ -52,13 +53,25 @@ def _seeds(coordinates: int) -> np.ndarray:
     return mix(np.arange(1, coordinates + 1, dtype=np.uint64) * np.uint64(MULTIPLIER))
 
 
-def signature(own: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """Upper 32 bits of the least scrambled hash under each seed."""
-    out = np.empty(len(seeds), np.uint64)
-    for k, seed in enumerate(seeds):
-        x = (own ^ seed) * np.uint64(0xFF51AFD7ED558CCD)
-        out[k] = ((x ^ (x >> np.uint64(32))) * np.uint64(0xC4CEB9FE1A85EC53)).min()
-    return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
+def signatures(sets: list[np.ndarray], seeds: np.ndarray, some: int = 1 << 15) -> list[np.ndarray]:
+    """For each set, none of them empty, the upper 32 bits of the least scrambled hash under each seed."""
+    out, i = [], 0
+    while i < len(sets):
+        j, n = i + 1, len(sets[i])
+        while j < len(sets) and n + len(sets[j]) <= some:
+            n += len(sets[j])
+            j += 1
+        flat = np.concatenate(sets[i:j])
+        starts = np.concatenate(([0], np.cumsum([len(s) for s in sets[i : j - 1]], dtype=np.int64)))
+        least = np.empty((j - i, len(seeds)), np.uint64)
+        for k, seed in enumerate(seeds):
+            x = (flat ^ seed) * np.uint64(0xFF51AFD7ED558CCD)
+            x ^= x >> np.uint64(32)
+            x *= np.uint64(0xC4CEB9FE1A85EC53)
+            least[:, k] = np.minimum.reduceat(x, starts)
+        out += list((least >> np.uint64(32)).astype(np.uint32).view(np.int32))
+        i = j
+    return out
 
 
 def _print(own: np.ndarray) -> bytes:
@@ -70,11 +83,12 @@ def _base(docs: DataFrame, n: int, coordinates: int, id_col: str, text_col: str)
         seeds, ids = _seeds(coordinates), b.column(0).is_valid().to_pylist()
         sets = [shingles(raw, n) for raw in raw_bytes(b)]
         linked = [len(s) > 0 and ok for s, ok in zip(sets, ids)]
+        made = iter(signatures([s for s, ok in zip(sets, linked) if ok], seeds))
         return {
             "doc_id": b.column(0),
             "n_shingles": [len(s) for s in sets],
             "fp": [_print(s) if ok else None for s, ok in zip(sets, linked)],
-            "sig": [signature(s, seeds) if ok else None for s, ok in zip(sets, linked)],
+            "sig": [next(made) if ok else None for ok in linked],
         }
 
     rows = id_text(docs, id_col, text_col)
@@ -113,51 +127,61 @@ def _confirm(pairs: DataFrame, texts: DataFrame, n: int, percent: int, spread: i
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _merge_lists(rows: DataFrame, least: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components, of one list and part, whose signatures match in `least` coordinates."""
-
-    def matches(own: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        cid, comp, size, side, sig = (np.array(x) for x in zip(*own))
-        order = np.argsort(size, kind="stable")
-        cid, comp, size, side, sig = cid[order], comp[order], size[order], side[order], sig[order]
-        step = 64
-        for i in range(0, len(cid), step):
-            j = slice(i, int(np.searchsorted(size, size[min(i + step, len(cid)) - 1] * 100 // percent + 1, "right")))
-            for lo in range(j.start, j.stop, 4096):
-                hi = min(lo + 4096, j.stop)
-                open_ = comp[i : i + step, None] != comp[None, lo:hi]
-                open_ &= (side[i : i + step, None] != side[None, lo:hi]) | (side[i : i + step, None] == 2)
-                open_ &= np.arange(i, min(i + step, len(cid)))[:, None] < np.arange(lo, hi)[None]
-                if not open_.any():
-                    continue
-                same = np.zeros(open_.shape, np.int16)
-                for c in range(sig.shape[1]):
-                    same += sig[i : i + step, c, None] == sig[None, lo:hi, c]
-                x, y = np.nonzero(open_ & (same >= least))
-                if len(x):
-                    a, b = cid[i + x], cid[lo + y]
-                    yield np.minimum(a, b), np.maximum(a, b)
+def links_between(members: list[tuple[int, int, int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
+    """Links that join components, from members (cid, component, side, set): at most one fewer than there are members.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own = None, []
-
-        def flush():
-            for a, b in matches(own) if len(own) > 1 else ():
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["b", "a"])
+    Every pair of different components is compared exactly, on sides 0 and 1
+    only across; one member's intersections with all others come from one pass
+    over the shingles that occur twice. A pair whose components a link has
+    already joined needs no other.
+    """
+    sizes = np.array([len(m[3]) for m in members])
+    comp, side = np.array([m[1] for m in members]), np.array([m[2] for m in members])
+    owner = np.repeat(np.arange(len(members)), sizes)
+    _, ids, count = np.unique(np.concatenate([m[3] for m in members]), return_inverse=True, return_counts=True)
+    twice = count > 1
+    place = np.cumsum(twice) - 1
+    keep = twice[ids]
+    flat, owner = place[ids[keep]], owner[keep]
+    edges = np.searchsorted(owner, np.arange(len(members) + 1))
+    mark, out = np.zeros(int(twice.sum()), bool), []
+    for i in range(len(members) - 1):
+        open_ = comp[i + 1 :] != comp[i]
+        open_ &= 100 * np.minimum(sizes[i + 1 :], sizes[i]) >= percent * np.maximum(sizes[i + 1 :], sizes[i])
+        if side[i] != 2:
+            open_ &= side[i + 1 :] != side[i]
+        if not open_.any() or edges[i] == edges[i + 1]:
+            continue
+        own = flat[edges[i] : edges[i + 1]]
+        mark[own] = True
+        total = np.concatenate(([0], np.cumsum(mark[flat[edges[i + 1] :]])))
+        both = total[edges[i + 2 :] - edges[i + 1]] - total[edges[i + 1 : -1] - edges[i + 1]]
+        mark[own] = False
+        for j in (i + 1 + np.flatnonzero(open_ & (100 * both >= percent * (sizes[i + 1 :] + sizes[i] - both)))).tolist():
+            if comp[i] != comp[j]:
+                out.append((members[i][0], members[j][0]))
+                comp[comp == comp[j]] = comp[i]
+    return out
+
+
+def _settle(rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """links_between() of each group of rows (b, x, y, cid, comp, side, text), sorted by (b, x, y)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own, out = None, [], []
         for batch in batches:
-            cols = [batch.column(k).to_pylist() for k in range(8)]
-            for key, x, y, *row in zip(*cols):
-                if at != (key, x, y):
-                    yield from flush()
-                    at, own = (key, x, y), []
-                own.append(row)
-        yield from flush()
+            for b, x, y, cid, comp, side, raw in zip(*(batch.column(k).to_pylist() for k in range(6)), raw_bytes(batch)):
+                if at != (b, x, y):
+                    out += links_between(own, percent) if own else []
+                    at, own = (b, x, y), []
+                own.append((cid, comp, side, shingles(raw, n)))
+        out += links_between(own, percent) if own else []
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*out) if out else ((), ()))], names=["a", "b"])
 
-    return rows.mapInArrow(run, "b long, a long").select("a", "b").distinct()
+    return rows.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, coordinates: int = 64, least: int = 30, block: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, coordinates: int = 64, least: int = 30, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs.
 
     Linked are documents whose sets of n-word shingles (ASCII lower case, words
@@ -199,19 +223,16 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, coordinates:
     links = materialize(_confirm(stars, texts, n, percent), "links")
     labels = materialize(connected_components(links), "labels")
 
-    rest = posted.where("n > 2").select("key", "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
-    rest = materialize(rest.select("key", "cid", "comp"), "rest")
-    mixed = rest.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
-    parts = F.ceil(F.col("n") / block).cast("int")
-    open_ = rest.join(mixed.select("key", parts.alias("parts")), "key").withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    groups = stars.union(stars.select(F.col("b").alias("a"), "b").distinct()).join(labels.select(F.col("node").alias("a"), "component"), "a", "left")
+    groups = materialize(groups.select("b", F.col("a").alias("cid"), F.coalesce("component", "a").alias("comp")), "groups")
+    mixed = groups.groupBy("b").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("n > 2 and lo != hi")
+    open_ = groups.join(mixed.select("b", F.ceil(F.col("n") / block).cast("int").alias("parts")), "b").withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
     open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    open_ = open_.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "cid", "comp", F.when(F.col("mine") == F.col("other"), 2).otherwise((F.col("mine") < F.col("other")).cast("int")).alias("side"))
-    open_ = open_.join(classes.select("cid", "size", "sig"), "cid").select("key", "x", "y", "cid", "comp", "size", "side", "sig")
-    more = _merge_lists(open_.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y"), least, percent)
-    more = materialize(more.join(stars.select("a", "b").union(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti"), "more")
+    side = F.when(F.col("mine") == F.col("other"), 2).otherwise((F.col("mine") < F.col("other")).cast("int"))
+    open_ = open_.select("b", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "cid", "comp", side.alias("side")).join(texts, "cid").select("b", "x", "y", "cid", "comp", "side", "text")
+    more = materialize(_settle(open_.repartition("b", "x", "y").sortWithinPartitions("b", "x", "y"), n, percent), "more")
     if more.limit(1).count():
-        links = links.union(_confirm(more, texts, n, percent))
-        labels = connected_components(links)
+        labels = connected_components(links.union(more))
 
     label = classes.select("cid", "fp", "rep").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     label = materialize(label, "label")
