@@ -130,24 +130,39 @@ class Model:
             out[own] = (totals[at + 1] - totals[at]).astype(np.int64)
         return out
 
-    def pairs(self, context: np.ndarray, child: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log10 probability or nan, children of the context in the shard) of pairs sorted by shard."""
-        value, children = np.full(len(context), np.nan), np.zeros(len(context), np.int64)
-        for s in np.unique(shard).tolist():
-            if s not in self.plan["shards"]:
-                continue
-            a, z = np.searchsorted(shard, [s, s + 1])
-            if s not in self.shards:
-                self.shards[s] = read(f"{self.plan['folder']}/pairs-{s}", "u1")
-            (pointers, nodes), (codes,) = self.shards[s]
-            first, last = self.plan["shards"][s]
-            own = a + np.flatnonzero((context[a:z] >= first) & (context[a:z] <= last))
-            c = context[own] - first
-            children[own] = (pointers[c + 1] - pointers[c]).astype(np.int64)
-            own = own[children[own] > 0]
-            at, known = nodes.successor((context[own] - first).astype(np.uint64) * np.uint64(self.plan["words"]) + child[own].astype(np.uint64))
-            value[own[known]] = codes[at[known]] / -STEPS
-        return value, children
+    def _opened(self, s: int):
+        if s not in self.shards:
+            self.shards[s] = read(f"{self.plan['folder']}/pairs-{s}", "u1")
+        return self.shards[s]
+
+    def children(self, ids: np.ndarray, shard: np.ndarray) -> np.ndarray:
+        """How many different words follow each of the ascending ids; shard: of each id's first pair."""
+        out = np.zeros(len(ids), np.int64)
+        edges = np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
+        for a, z in zip(edges[:-1], edges[1:]):
+            if (s := int(shard[a])) in self.plan["shards"]:
+                first, last = self.plan["shards"][s]
+                own = a + np.flatnonzero((ids[a:z] >= first) & (ids[a:z] <= last))
+                (pointers, _), _ = self._opened(s)
+                both = pointers[np.concatenate((ids[own] - first, ids[own] - first + 1))].astype(np.int64)
+                out[own] = both[len(own) :] - both[: len(own)]
+        split = self.plan["split"]
+        for i in np.flatnonzero(np.isin(ids, np.fromiter(split, np.int64, len(split)))):
+            out[i] = split[int(ids[i])]
+        return out
+
+    def pairs(self, context: np.ndarray, child: np.ndarray, shard: np.ndarray) -> np.ndarray:
+        """Log10 of the discounted share, or nan, of pairs in ascending order."""
+        out = np.full(len(context), np.nan)
+        edges = np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
+        for a, z in zip(edges[:-1], edges[1:]):
+            if (s := int(shard[a])) in self.plan["shards"]:
+                first, last = self.plan["shards"][s]
+                own = a + np.flatnonzero((context[a:z] >= first) & (context[a:z] <= last))
+                (_, nodes), (codes,) = self._opened(s)
+                at, known = nodes.successor((context[own] - first).astype(np.uint64) * np.uint64(self.plan["words"]) + child[own].astype(np.uint64))
+                out[own[known]] = codes[at[known]] / -STEPS
+        return out
 
 
 def _shard(before: np.ndarray, count: np.ndarray, child: np.ndarray, words: int, share: int) -> np.ndarray:
@@ -337,18 +352,15 @@ def _score(raws: list[bytes], plan: dict) -> dict:
     both, again = np.unique((np.concatenate(([end], back[:-1])).astype(np.uint64) << np.uint64(32)) | back.astype(np.uint64), return_inverse=True)
     c, w = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
     p = single[w]  # of an unknown context
-    seen = np.flatnonzero(ids[c] >= 0)
-    children = np.zeros(len(both), np.int64)
-    kept = np.full(len(both), np.nan)
-    sure = np.where(ids[w[seen]] >= 0, ids[w[seen]], 0)
-    shard = _shard(before[c[seen]], count[c[seen]], sure, v, plan["share"])
-    order = np.argsort(shard, kind="stable")
-    kept[seen[order]], children[seen[order]] = model.pairs(ids[c[seen[order]]], np.where(ids[w[seen[order]]] >= 0, ids[w[seen[order]]], v), shard[order])
-    split = plan["split"]
-    for i in seen[np.isin(ids[c[seen]], np.fromiter(split, np.int64, len(split)))]:
-        children[i] = split[int(ids[c[i]])]
-    rest = plan["discount2"] * children[seen] / count[c[seen]]
-    p[seen] = np.where(np.isnan(kept[seen]), 0, 10.0 ** kept[seen]) + rest * p[seen]
+    kids = np.zeros(len(known))
+    inside = np.flatnonzero(ids >= 0)
+    kids[inside] = model.children(ids[inside], _shard(before[inside], count[inside], 0, v, plan["share"]))
+    p *= np.where(ids[c] >= 0, plan["discount2"] * kids[c] / np.maximum(count[c], 1), 1)
+    sure = np.flatnonzero((ids[c] >= 0) & (ids[w] >= 0))
+    x, y = c[sure], w[sure]
+    own = model.pairs(ids[x], ids[y], _shard(before[x], count[x], ids[y], v, plan["share"]))
+    met = ~np.isnan(own)
+    p[sure[met]] += 10.0 ** own[met]
     return out | {"score": per_text(np.log10(p)[again])}
 
 
