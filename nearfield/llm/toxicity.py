@@ -146,7 +146,7 @@ class _Sample:
 def train(raws: list[bytes], toxic: np.ndarray, landmarks: int = 256, rounds: int = 3, seed: int = 7) -> tuple[np.ndarray, float, np.ndarray]:
     """(weight of each subsequence, margin) of the collapsed machine, and its calibration over pooled()."""
     toxic = np.asarray(toxic, bool)
-    rate = (toxic.sum() + 0.5) / (len(toxic) + 1)
+    rate = (toxic.sum() + 0.5) / (len(toxic) + 2)
     if toxic.sum() < 2 or (~toxic).sum() < 2:
         return np.zeros(SIZE, np.float32), 0.0, np.array([0, 0, 0, np.log(rate / (1 - rate))])
     rng = np.random.default_rng(seed)
@@ -221,18 +221,30 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     return np.append(w[:-1] / sd, w[-1] - (w[:-1] * mean / sd).sum())
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[bytes], np.ndarray]:
-    """Texts and labels of up to `most` rows of each class outside fold 0 of 5, the same ones every time.
+def trained(docs: DataFrame, labels: DataFrame, label: str, most: int, landmarks: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, float, np.ndarray]:
+    """train() on up to `most` rows of each class outside fold 0 of 5, the same ones every time, in one task.
 
     Documents with two labels count as 1 if either is. The chosen ids are a
-    broadcast of a fixed bound; documents are read once and not shuffled.
+    broadcast of a fixed bound; documents are read once, only the chosen ones
+    move, and what comes back is the few weights that aren't zero.
     """
-    rows = labels.where(fold(F.col("doc_id"), 5) != 0).where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
+    rows = labels.where(fold(F.col("doc_id"), 5) != 0).where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     order = F.xxhash64("doc_id"), F.col("doc_id")
     chosen = rows.where("label = 1").orderBy(*order).limit(most).union(rows.where("label = 0").orderBy(*order).limit(most))
-    found = id_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").where("text is not null").select("doc_id", F.col("text").cast("binary").alias("text"), "label")
-    got = sorted(found.toLocalIterator(), key=lambda r: (str(r.doc_id), r.text))
-    return [bytes(r.text) for r in got], np.array([r.label for r in got], np.int64)
+    found = id_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").where("text is not null").select(F.col("doc_id").cast("string"), "text", "label")
+
+    def fit(batches):
+        got = sorted((i, r, y) for b in batches for i, r, y in zip(b.column(0).to_pylist(), raw_bytes(b), b.column(2).to_pylist()))
+        weights, margin, w = train([r for _, r, _ in got], np.array([y for _, _, y in got], np.int64), landmarks)
+        at = np.flatnonzero(weights)
+        yield pa.RecordBatch.from_arrays([pa.array([at.tobytes()]), pa.array([weights[at].tobytes()]), pa.array([margin]), pa.array([w.tolist()])], names=["at", "value", "margin", "w"])
+
+    got = found.repartition(1).mapInArrow(fit, "at binary, value binary, margin double, w array<double>").first()
+    weights = np.zeros(SIZE, np.float32)
+    if got is None:
+        return train([], np.zeros(0, np.int64))
+    weights[np.frombuffer(got.at, np.int64)] = np.frombuffer(got.value, np.float32)
+    return weights, got.margin, np.array(got.w)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 2000, landmarks: int = 256, id_col: str = "doc_id", text_col: str = "text", carry: tuple = ()) -> DataFrame:
@@ -244,8 +256,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 2000,
     subsequence; without labels of both classes all score the rate. Rows are
     kept as they are, with null or repeated ids too.
     """
-    raws, toxic = labelled_sample(docs, labels, "toxic", max_labelled, id_col, text_col)
-    weights, margin, w = train(raws, toxic, landmarks)
+    weights, margin, w = trained(docs, labels, "toxic", max_labelled, landmarks, id_col, text_col)
     sent, name = docs.sparkSession.sparkContext.broadcast(weights), uuid.uuid4().hex
 
     def batch(b: pa.RecordBatch) -> dict:
