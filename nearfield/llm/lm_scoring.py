@@ -235,7 +235,7 @@ def _merged(packed: DataFrame, name: str) -> DataFrame:
     return materialize(packed.repartition("part").sortWithinPartitions("part").mapInArrow(run, "part long, n long, total long, once long, twice long, keys binary, counts binary"), name)
 
 
-def build(texts: DataFrame, share: int = 16_000_000, bits: int | None = None) -> dict:
+def build(texts: DataFrame, share: int = 4_000_000, bits: int | None = None) -> dict:
     """The model of texts (a column text) as files in the shared folder; returns its plan.
 
     share: training tokens a shard; bits: upper bits of a hash that tell a
@@ -364,7 +364,7 @@ def _score(raws: list[bytes], plan: dict) -> dict:
     return out | {"score": per_text(np.log10(p)[again])}
 
 
-def score_texts(docs: DataFrame, modulus: int = 10, share: int = 16_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, modulus: int = 10, share: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of docs.
 
     The model learns from all rows whose crc32(id as text) modulo modulus isn't
