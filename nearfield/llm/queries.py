@@ -6,6 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .oracle import ORACLE_SQL  # noqa: F401
+
 BPE = "byte_bpe_50k.json"
 
 
@@ -98,5 +100,3 @@ QUERIES = {
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_license_scan": op10_license_scan,
 }
-
-ORACLE_SQL: dict[str, str] = {}
