@@ -24,9 +24,10 @@ def _search(v, rows, q, size, entry, metric, layers):
         return float(-(q @ v[i])) if metric == "ip" else float(((q - v[i]) ** 2).sum())
 
     hops = dists = 0
-    for layer in layers:
-        best, again = dist(entry), True
-        dists += 1
+    if layers:
+        best, dists = dist(entry), 1
+    for layer in layers:  # one without edges costs a hop too
+        again = True
         while again:
             again, hops = False, hops + 1
             for j in layer.get(entry, ()):
@@ -60,12 +61,14 @@ def beam_search(base: DataFrame, edges: DataFrame, queries: DataFrame, size: int
 
     The pool is ordered by (distance, id), so results don't depend on labels.
     layer_edges (level, src, dst), top level 0, are descended greedily first.
-    Beyond BROADCAST_VALUES the search runs as joins, a round a hop; layers and
-    traces are for graphs below it.
+    Beyond BROADCAST_VALUES the search runs as joins, a round a hop, and layers
+    raise an error.
     """
     n, width = base.count(), len(base.select("v").first()[0])
     if n * width + edges.count() > BROADCAST_VALUES:
-        return beam_search_joins(base, edges, queries, size, k, entry, metric)
+        if layer_edges is not None:
+            raise ValueError("layers need a graph below BROADCAST_VALUES; start from the entry they lead to instead")
+        return beam_search_joins(base, edges, queries, size, k, entry, metric, trace)
     vectors = {r.id: r.v for r in base.select("id", "v").collect()}
     rows = defaultdict(list)
     for r in edges.select("src", "pos", "dst").collect():
@@ -74,7 +77,7 @@ def beam_search(base: DataFrame, edges: DataFrame, queries: DataFrame, size: int
     for r in layer_edges.orderBy("level", "src", "dst").collect() if layer_edges is not None else ():
         layers[r.level][r.src].append(r.dst)
     ids = sorted(vectors)
-    sent = base.sparkSession.sparkContext.broadcast((ids, np.array([vectors[i] for i in ids]), {s: [d for _, d in sorted(x)] for s, x in rows.items()}, [dict(layers[x]) for x in sorted(layers)]))
+    sent = base.sparkSession.sparkContext.broadcast((ids, np.array([vectors[i] for i in ids]), {s: [d for _, d in sorted(x)] for s, x in rows.items()}, [dict(layers[x]) for x in range(max(layers, default=-1) + 1)]))
 
     def run(frames):
         ids, matrix, adjacency, steps = sent.value
@@ -94,16 +97,16 @@ def beam_search(base: DataFrame, edges: DataFrame, queries: DataFrame, size: int
     return spread.mapInPandas(run, "q long, id long, expand long, touch long" if trace else "q long, rank int, id long, hops long, dists long")
 
 
-def beam_search_joins(base: DataFrame, edges: DataFrame, queries: DataFrame, size: int = 64, k: int = 10, entry: int = 0, metric: str = "l2") -> DataFrame:
+def beam_search_joins(base: DataFrame, edges: DataFrame, queries: DataFrame, size: int = 64, k: int = 10, entry: int = 0, metric: str = "l2", trace: bool = False) -> DataFrame:
     """beam_search() as a loop of joins; nothing is broadcast that grows."""
     d = distance(metric)
     first = queries.crossJoin(F.broadcast(base.where(F.col("id") == entry).select("id", F.col("v").alias("w"))))
-    state = cut(first.select("q", "v", F.array(F.struct(d("v", "w").alias("d"), "id", F.lit(False).alias("x"))).alias("pool"), F.array("id").alias("seen"), F.lit(0).cast("long").alias("hops"), F.lit(1).cast("long").alias("dists")))
+    state = cut(first.select("q", "v", F.array(F.struct(d("v", "w").alias("d"), "id", F.lit(False).alias("x"))).alias("pool"), F.array("id").alias("seen"), F.slice(F.array("id"), 1, 0).alias("expanded"), F.lit(0).cast("long").alias("hops"), F.lit(1).cast("long").alias("dists")))
     done = None
     while True:
         at = F.filter("pool", lambda c: ~c.x)
         state = state.withColumn("at", F.get(at, 0).id)
-        over = state.where("at is null").drop("at", "v", "seen")
+        over = state.where("at is null").drop("at", "v", *(() if trace else ("seen", "expanded")))
         done = cut(over) if done is None else cut(done.union(over))
         state = cut(state.where("at is not null"))
         if not state.limit(1).count():
@@ -113,9 +116,12 @@ def beam_search_joins(base: DataFrame, edges: DataFrame, queries: DataFrame, siz
         marked = F.transform("pool", lambda c: F.struct(c.d.alias("d"), c.id.alias("id"), (c.x | (c.id == F.col("at"))).alias("x")))
         state = cut(
             state.join(near, "q", "left").withColumn("new", F.coalesce("new", F.slice("pool", 1, 0))).select(
-                "q", "v", F.slice(F.array_sort(F.concat(marked, "new")), 1, size).alias("pool"), F.concat("seen", F.transform("new", lambda c: c.id)).alias("seen"), (F.col("hops") + 1).alias("hops"), (F.col("dists") + F.size("new")).alias("dists")
+                "q", "v", F.slice(F.array_sort(F.concat(marked, "new")), 1, size).alias("pool"), F.concat("seen", F.transform("new", lambda c: c.id)).alias("seen"), F.concat("expanded", F.array("at")).alias("expanded"), (F.col("hops") + 1).alias("hops"), (F.col("dists") + F.size("new")).alias("dists")
             )
         )
+    if trace:
+        touched = done.select("q", "expanded", F.explode("seen").alias("id"))
+        return touched.select("q", "id", F.array_contains("expanded", F.col("id")).cast("long").alias("expand"), F.lit(1).cast("long").alias("touch"))
     best = done.select("q", "hops", "dists", F.posexplode(F.slice("pool", 1, k)).alias("r", "c"))
     return best.select("q", (F.col("r") + 1).alias("rank"), F.col("c.id").alias("id"), "hops", "dists")
 

@@ -192,7 +192,8 @@ def access_profile(spark, d):
 
 def profile_skew(spark, d):
     s = Study(spark, d)
-    return caching.profile_skew(s.trace(0), s.n)
+    out = caching.profile_skew(s.trace(0), s.n)
+    return out.select(*(F.round(c, 6).alias(c) if kind == "double" else c for c, kind in out.dtypes))
 
 
 def level_share(spark, d):
@@ -209,7 +210,7 @@ def policy_hit_rate(spark, d):
         "bfs": levels.select("id", (-F.col("level")).alias("score")),
         "indeg": s.in_degree(),
         "outdeg": s.out_degree(),
-        "random": levels.select("id", F.xxhash64("id", F.lit(0)).alias("score")),
+        "random": levels.select("id", F.md5(F.col("id").cast("string")).alias("score")),
         "oracle": held.select("id", F.col("expand").alias("score")),
     }
     return caching.policy_hit_rates(policies, held, s.n)
@@ -217,7 +218,7 @@ def policy_hit_rate(spark, d):
 
 def rank_corr(spark, d):
     s = Study(spark, d)
-    return caching.rank_correlation(s.trace(0).select("id", F.col("expand").alias("score")), s.in_degree())
+    return caching.rank_correlation(s.trace(0).select("id", F.col("expand").alias("score")), s.in_degree()).select(F.round("rank_corr", 6).alias("rank_corr"))
 
 
 def nav_layers(spark, d):
@@ -234,7 +235,7 @@ def beam_search_layers(spark, d):
         own = s.base.join(layers.where(F.col("level") == level).select("id"), "id")
         parts.append(vectors.knn_graph(own, 8).select(F.lit(level).alias("level"), "src", "dst"))
     start = vectors.medoid(s.base.join(layers.where("level = 0").select("id"), "id"))
-    return search.beam_search(s.base, s.edges, s.queries, 32, K, start, layer_edges=parts[0].union(parts[1]))
+    return search.beam_search(s.base, s.edges, s.queries, 32, K, start, layer_edges=parts[0].union(parts[1])).withColumn("rank", F.col("rank").cast("long"))
 
 
 def labeling_sweep(spark, d):
@@ -362,3 +363,152 @@ FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY x) - 1 AS
 CASE WHEN k <= 4 THEN round(10 + (1 - k / 20.0::DOUBLE) * 50, 6) END AS model_us, round((60 - m) / 50, 6) AS recovered
 FROM (SELECT l_linenumber AS k, avg(l_quantity::DOUBLE) AS m FROM lineitem WHERE l_linenumber <= 5 GROUP BY ALL)""",
 }
+
+#: Searches from `starts` (q, e): one row a hop, with the pool, the expanded and the seen nodes as lists.
+_DIST = """dist AS MATERIALIZED (SELECT q.q, list(list_sum(list_transform(list_zip(q.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) ORDER BY b.id) AS d FROM queries q, base b GROUP BY q.q),
+out_rows AS MATERIALIZED (SELECT src, list(dst ORDER BY pos) AS dsts FROM edges GROUP BY src),
+"""
+_BEAM = """beam AS (
+  SELECT size, q, [{'d': d[e + 1], 'id': e}] AS pool, []::BIGINT[] AS done, [e] AS seen, e AS cur FROM starts JOIN dist USING (q), (VALUES (10), (32), (64)) t(size)
+  UNION ALL
+  SELECT size, q, pool, done, seen, list_filter(pool, lambda c: NOT list_contains(done, c.id))[1].id FROM (
+    SELECT size, q, list_sort(list_concat(pool, list_transform(fresh, lambda j: {'d': d[j + 1], 'id': j})))[1:size] AS pool, done, list_concat(seen, fresh) AS seen FROM (
+      SELECT b.size, b.q, b.pool, list_append(b.done, b.cur) AS done, b.seen, list_filter(r.dsts, lambda j: NOT list_contains(b.seen, j)) AS fresh, d
+      FROM beam b JOIN out_rows r ON r.src = b.cur JOIN dist x ON x.q = b.q WHERE b.cur IS NOT NULL))),
+ends AS MATERIALIZED (SELECT size, q, pool, len(done) AS hops, len(seen) AS dists, done, seen FROM beam WHERE cur IS NULL),
+"""
+_SEARCH = _DIST + "starts AS (SELECT q, e FROM queries, entry),\n" + _BEAM
+_TRACE = _SEARCH + """profiles AS MATERIALIZED (
+  SELECT part, id, count(*) FILTER (kind = 'x')::BIGINT AS expand, count(*) FILTER (kind = 't')::BIGINT AS touch FROM (
+    SELECT q // 10 % 2 AS part, unnest(done) AS id, 'x' AS kind FROM ends WHERE size = 64 UNION ALL SELECT q // 10 % 2, unnest(seen), 't' FROM ends WHERE size = 64) GROUP BY ALL),
+train AS MATERIALIZED (SELECT b.id, coalesce(expand, 0) AS expand, coalesce(touch, 0) AS touch FROM base b LEFT JOIN profiles p ON p.id = b.id AND part = 0),
+held AS MATERIALIZED (SELECT b.id, coalesce(expand, 0) AS expand FROM base b LEFT JOIN profiles p ON p.id = b.id AND part = 1),
+"""
+_LEVELS = """walk AS (SELECT e AS id, 0 AS level FROM entry UNION SELECT dst, level + 1 FROM walk JOIN edges ON src = id WHERE level < 12),
+levels AS MATERIALIZED (SELECT b.id, coalesce(min(level), any_value(n))::BIGINT AS level FROM base b LEFT JOIN walk w ON w.id = b.id, n GROUP BY b.id),
+"""
+#: Greedy descent through two in-degree layers: level 2 is the base, its starts carry hops and distances so far.
+_DESCENT = """layer AS MATERIALIZED (SELECT 0 AS level, id FROM hot, n WHERE r <= greatest(1, n // 256) UNION ALL SELECT 1, id FROM hot, n WHERE r <= greatest(1, n // 16)),
+links AS MATERIALIZED (SELECT x.level, x.id AS src, y.id AS dst, row_number() OVER (PARTITION BY x.level, x.id ORDER BY list_distance(a.v, b.v), y.id) AS r
+  FROM layer x JOIN layer y ON x.level = y.level AND x.id <> y.id JOIN base a ON a.id = x.id JOIN base b ON b.id = y.id QUALIFY r <= 8),
+step_rows AS MATERIALIZED (SELECT l.level, l.id AS src, coalesce(list(dst ORDER BY dst) FILTER (dst IS NOT NULL), []) AS dsts FROM layer l LEFT JOIN links k ON k.level = l.level AND k.src = l.id GROUP BY ALL),
+top AS (SELECT id AS e FROM layer WHERE level = 0 ORDER BY (SELECT sum((v[i] - m) * (v[i] - m)) FROM base b, (SELECT i, avg(v[i]) AS m FROM base JOIN layer USING (id), range(1, 65) t(i) WHERE level = 0 GROUP BY i) WHERE b.id = layer.id), id LIMIT 1),
+fall AS (
+  SELECT q, e AS cur, 0 AS level, 0 AS hops, 1 AS dists FROM queries, top
+  UNION ALL
+  SELECT q, CASE WHEN near.d < here THEN near.id ELSE cur END, level + CASE WHEN near.d < here THEN 0 ELSE 1 END, hops + 1, dists + deg FROM (
+    SELECT f.q, cur, f.level, hops, dists, len(dsts) AS deg, d[cur + 1] AS here, list_sort(list_transform(dsts, lambda j: {'d': d[j + 1], 'id': j}))[1] AS near
+    FROM fall f JOIN step_rows s ON s.level = f.level AND s.src = cur JOIN dist x ON x.q = f.q)),
+starts AS MATERIALIZED (SELECT q, cur AS e, hops, dists FROM fall WHERE level = 2),
+"""
+
+
+def _order(name: str, rows: str, first: str, restart: bool) -> str:
+    """A breadth-first order with its queue as a list, a row a node; goes on at the unseen node of least degree if restart. rows has (src, dsts); by_degree lists all ids."""
+    more = f"(SELECT list_filter(ids, lambda j: NOT list_contains(queue, j))[1:1] FROM {name}_ids)" if restart else "[]::BIGINT[]"
+    return f"""{name}_walk AS (
+  SELECT 0 AS at_, [({first})] AS queue
+  UNION ALL
+  SELECT at_ + 1, CASE WHEN len(queue) > at_ + 1 THEN queue ELSE list_concat(queue, {more}) END FROM (
+    SELECT at_, list_concat(queue, list_filter(coalesce(dsts, []), lambda j: NOT list_contains(queue, j))) AS queue FROM {name}_walk LEFT JOIN {rows} ON src = queue[at_ + 1] WHERE len(queue) > at_)),
+{name}_reached AS (SELECT unnest(queue) AS old_id, generate_subscripts(queue, 1) - 1 AS new_id FROM (SELECT queue FROM {name}_walk ORDER BY at_ DESC LIMIT 1)),
+{name} AS MATERIALIZED (SELECT new_id, old_id FROM {name}_reached UNION ALL
+  SELECT (SELECT count(*) FROM {name}_reached) + row_number() OVER (ORDER BY id) - 1, id FROM base ANTI JOIN {name}_reached ON old_id = id),
+"""
+
+
+_ORDERS = (
+    """pos_rows AS MATERIALIZED (SELECT src, list(dst ORDER BY pos) AS dsts FROM edges GROUP BY src),
+cm_ids AS MATERIALIZED (SELECT list(id ORDER BY deg, id) AS ids FROM outdeg),
+cm_rows AS MATERIALIZED (SELECT src, list(dst ORDER BY deg, dst) AS dsts FROM edges JOIN outdeg ON id = dst GROUP BY src),
+both_ways AS MATERIALIZED (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
+both_deg AS MATERIALIZED (SELECT id, count(dst) AS deg FROM base LEFT JOIN both_ways ON src = id GROUP BY id),
+sym_ids AS MATERIALIZED (SELECT list(id ORDER BY deg, id) AS ids FROM both_deg),
+both_rows AS MATERIALIZED (SELECT src, list(dst ORDER BY deg, dst) AS dsts FROM both_ways JOIN both_deg ON id = dst GROUP BY src),
+"""
+    + _order("bfs", "pos_rows", "SELECT e FROM entry", False)
+    + _order("cm", "cm_rows", "SELECT e FROM entry", True)
+    + _order("sym", "both_rows", "SELECT ids[1] FROM sym_ids", True)
+    + "rcm AS MATERIALIZED (SELECT n - 1 - new_id AS new_id, old_id FROM sym, n),\n"
+)
+#: Payloads of every codec under labelings (lab, src, pos, dst).
+_CODED = """under AS MATERIALIZED (SELECT lab, src, list(dst ORDER BY pos) AS ids FROM labeled GROUP BY ALL),
+spans AS (
+  SELECT lab, src, -1 AS below, len(ids) AS above FROM under
+  UNION ALL
+  SELECT lab, src, unnest([below, mid]), unnest([mid, above]) FROM (SELECT *, below + 1 + (above - below - 1) // 2 AS mid FROM spans WHERE above - below > 1)),
+steps AS (SELECT lab, ids, below, above, below + 1 + (above - below - 1) // 2 AS mid FROM spans JOIN under USING (lab, src) WHERE above - below > 1),
+bounds AS (SELECT lab, ids[mid + 1] + mid AS y, CASE WHEN below >= 0 THEN ids[below + 1] + below ELSE -1 END + mid - below AS low,
+  CASE WHEN above < len(ids) THEN ids[above + 1] + above ELSE n + len(ids) - 1 END - (above - mid) AS high FROM steps, n),
+coded AS (SELECT lab, y - low AS v, high - low + 1 AS r, CASE WHEN high - low <= 1 THEN 1 ELSE floor(log2(high - low))::BIGINT + 1 END AS b FROM bounds),
+bic AS (SELECT lab, sum(CASE WHEN (v - r + (1 << (b - 1)) + r) % r < (1 << b) - r THEN b - 1 ELSE b END)::BIGINT AS p FROM coded GROUP BY lab),
+flat AS (SELECT lab, src, len(ids) AS deg, ids[len(ids)] AS top, list_max(list_transform(range(1, len(ids)), lambda i: ids[i + 1] - ids[i])) AS gap FROM under),
+sums AS (SELECT lab, sum(deg)::BIGINT AS e, sum(deg * low + (top >> low) + deg)::BIGINT AS ef, sum(ceil(log2(n)) + CASE WHEN deg >= 2 THEN 6 + (deg - 1) * CASE WHEN gap > 0 THEN floor(log2(gap)) + 1 ELSE 0 END ELSE 0 END)::BIGINT AS pk
+  FROM (SELECT *, CASE WHEN n // deg >= 1 THEN floor(log2(n // deg))::BIGINT ELSE 0 END AS low FROM flat, n) GROUP BY lab),
+stores AS MATERIALIZED (SELECT lab, codec, e, p, CASE WHEN codec = 'raw' THEN 8 * (n + 1) + 4 * e ELSE 8 * (ceil(p / 64.0)::BIGINT + 2) + 5 * n + 8 + extra END AS total FROM n, (
+  SELECT lab, 'raw' AS codec, e, 32 * e AS p, 0 AS extra FROM sums UNION ALL SELECT lab, 'rowef', e, ef, 256 FROM sums UNION ALL SELECT lab, 'rowpack', e, pk, 0 FROM sums
+  UNION ALL SELECT lab, 'rowbic', e, p, 32640 * 5 + 256 * 4 FROM sums JOIN bic USING (lab))),
+"""
+_SHARE = ", ".join(f"round(sum(expand) FILTER (r <= greatest(1, floor({b}::DOUBLE * n)::BIGINT)) / any_value(t)::DOUBLE, 6) AS top_{f'{b:g}'.replace('.', '_')}" for b in caching.BUDGETS)
+_PROFILE = "SELECT id, expand, touch FROM train"
+ORACLE_SQL |= {
+    "robust_prune": _sql(
+        "SELECT src, generate_subscripts(kept, 1) - 1 AS pos, unnest(kept) AS dst FROM (SELECT src, list_sort(kept) AS kept FROM prune WHERE len(open_) = 0 OR len(kept) = 8)",
+        """matrix AS MATERIALIZED (SELECT a.id, list(list_distance(a.v, b.v) ORDER BY b.id) AS d FROM base a, base b GROUP BY a.id),
+prune AS (
+  SELECT src, list(dst ORDER BY d[dst + 1], dst) AS open_, []::BIGINT[] AS kept FROM edges JOIN matrix ON id = src GROUP BY src
+  UNION ALL
+  SELECT src, list_filter(open_[2:], lambda j: 1.2::DOUBLE * y.d[j + 1] > x.d[j + 1]), list_append(kept, open_[1]) FROM prune JOIN matrix x ON x.id = src JOIN matrix y ON y.id = open_[1] WHERE len(open_) > 0 AND len(kept) < 8),
+""",
+    ),
+    "beam_search": _sql("SELECT q, generate_subscripts(p, 1) AS rank, unnest(p).id AS id, hops, dists FROM (SELECT *, pool[1:10] AS p FROM ends WHERE size = 32)", _SEARCH),
+    "beam_search_joins": _sql("SELECT q, generate_subscripts(p, 1) AS rank, unnest(p).id AS id, hops, dists FROM (SELECT *, pool[1:10] AS p FROM ends WHERE size = 10)", _SEARCH),
+    "beam_search_layers": _sql(
+        "SELECT q, generate_subscripts(p, 1) AS rank, unnest(p).id AS id, s.hops + x.hops AS hops, s.dists + x.dists AS dists FROM (SELECT *, pool[1:10] AS p FROM ends WHERE size = 32) x JOIN starts s USING (q)",
+        _DIST + _DESCENT + _BEAM,
+    ),
+    "recall_sweep": _sql(
+        """SELECT size AS L, count(*) AS queries, sum(len(list_filter(list_transform(pool[1:10], lambda c: c.id), lambda j: list_contains(ids, j)))) / (count(*) * 10)::DOUBLE AS recall, avg(hops) AS hops, avg(dists) AS dists
+FROM ends JOIN (SELECT q.q, list(b.id) AS ids FROM queries q, LATERAL (SELECT id FROM (SELECT id, row_number() OVER (ORDER BY d[id + 1], id) AS r FROM base, dist WHERE dist.q = q.q) WHERE r <= 10) b GROUP BY q.q) truth USING (q) GROUP BY size""",
+        _SEARCH,
+    ),
+    "access_profile": _sql(_PROFILE, _TRACE),
+    "profile_skew": _sql(
+        f"""SELECT sum(expand)::BIGINT AS total, count(*) FILTER (expand > 0) AS touched, max(expand) AS greatest, round(-sum(p * log2(p)) FILTER (expand > 0), 6) AS entropy,
+ round(regr_slope(ln(expand), ln(r)) FILTER (expand > 0), 6) AS zipf_slope, {_SHARE}, round(pow(2, -sum(p * log2(p)) FILTER (expand > 0)), 6) AS perplexity
+FROM (SELECT *, nullif(expand, 0) / t::DOUBLE AS p FROM (SELECT id, nullif(expand, 0) AS expand, row_number() OVER (ORDER BY expand DESC, id) AS r, sum(expand) OVER () AS t FROM train)), n""",
+        _TRACE,
+    ),
+    "level_share": _sql("SELECT level, count(*) AS nodes, sum(expand) / (SELECT sum(expand) FROM train)::DOUBLE AS share FROM levels JOIN train USING (id) WHERE level <= 12 GROUP BY level", _TRACE + _LEVELS),
+    "policy_hit_rate": _sql(
+        """SELECT policy, budget::DOUBLE AS budget, greatest(1, floor(budget::DOUBLE * n)::INT) AS hot_nodes, coalesce(sum(expand) FILTER (r <= greatest(1, floor(budget::DOUBLE * n)::INT)), 0) / greatest(1, (SELECT sum(expand) FROM held))::DOUBLE AS hit
+FROM policies JOIN held USING (id), n, (VALUES (0.0001), (0.001), (0.01), (0.05), (0.1), (0.2)) t(budget) GROUP BY policy, budget, n""",
+        _TRACE
+        + _LEVELS
+        + """policies AS MATERIALIZED (
+  SELECT 'freq' AS policy, id, row_number() OVER (ORDER BY expand DESC, id) AS r FROM train UNION ALL SELECT 'bfs', id, row_number() OVER (ORDER BY level, id) FROM levels
+  UNION ALL SELECT 'indeg', id, r FROM hot UNION ALL SELECT 'outdeg', id, row_number() OVER (ORDER BY deg DESC, id) FROM outdeg
+  UNION ALL SELECT 'random', id, row_number() OVER (ORDER BY md5(id::VARCHAR) DESC, id) FROM base UNION ALL SELECT 'oracle', id, row_number() OVER (ORDER BY expand DESC, id) FROM held),
+""",
+    ),
+    "rank_corr": _sql("SELECT round(corr(hot.r, t.r), 6) AS rank_corr FROM hot JOIN (SELECT id, row_number() OVER (ORDER BY expand DESC, id) AS r FROM train) t USING (id)", _TRACE),
+    "bfs_order": _sql("SELECT new_id, old_id FROM bfs", _ORDERS),
+    "cm_directed_order": _sql("SELECT new_id, old_id FROM cm", _ORDERS),
+    "rcm_order": _sql("SELECT new_id, old_id FROM rcm", _ORDERS),
+    "store_size_rowbic": _sql(
+        "SELECT codec, n AS nodes, e AS edges, p AS payload_bits, total::BIGINT AS total_bytes, round(8 * total / e::DOUBLE, 6) AS bits_per_edge FROM stores, n WHERE codec = 'rowbic'",
+        "labeled AS (SELECT 'orig' AS lab, src, pos, dst FROM edges),\n" + _CODED,
+    ),
+    "labeling_sweep": _sql(
+        "SELECT 'knn16' AS graph, lab AS labeling, codec, e AS edges, p AS payload_bits, 8 * total / e::DOUBLE AS bits_per_edge FROM stores",
+        _ORDERS
+        + """perms AS (SELECT 'bfs' AS lab, * FROM bfs UNION ALL SELECT 'cm-dir', * FROM cm UNION ALL SELECT 'rcm', * FROM rcm UNION ALL SELECT 'orig', id, id FROM base),
+labeled AS MATERIALIZED (SELECT a.lab, a.new_id AS src, b.new_id AS pos, b.new_id AS dst FROM edges JOIN perms a ON src = a.old_id JOIN perms b ON dst = b.old_id AND b.lab = a.lab),
+"""
+        + _CODED,
+    ),
+    "elias_fano_model": _sql(
+        """SELECT sum(m * (CASE WHEN u // m >= 1 THEN floor(log2(u // m))::BIGINT ELSE 0 END + 2))::BIGINT AS bits FROM (
+ SELECT count(*) AS m, max(x) - min(x) + 1 AS u FROM (SELECT src * n + dst AS x, (row_number() OVER (ORDER BY src, pos) - 1) // 32000 AS part FROM edges, n) GROUP BY part)"""
+    ),
+}

@@ -91,6 +91,36 @@ def test_ties_and_both_beam_searches(spark):
     a = search.beam_search(base, e, q, 4, 3, 4).orderBy("rank").collect()
     b = search.beam_search_joins(base, e, q, 4, 3, 4).orderBy("rank").collect()
     assert [tuple(x[c] for c in ("rank", "id", "hops", "dists")) for x in a] == [tuple(x[c] for c in ("rank", "id", "hops", "dists")) for x in b]
+    a, b = (sorted(map(tuple, s(base, e, q, 3, 3, 4, trace=True).collect())) for s in (search.beam_search, search.beam_search_joins))
+    assert a == b and sum(x[2] for x in a) == 4
+
+
+def test_layers_cost_a_hop_each_and_one_distance_at_the_start(spark):
+    base = spark.createDataFrame([(i, [float(i)]) for i in range(6)], "id long, v array<double>")
+    e = spark.createDataFrame([(i, 0, i - 1) for i in range(1, 6)], "src long, pos long, dst long")
+    layers = spark.createDataFrame([(1, 5, 3), (1, 3, 5), (1, 3, 1), (1, 1, 3)], "level int, src long, dst long")
+    r = search.beam_search(base, e, spark.createDataFrame([(0, [1.0])], "q long, v array<double>"), 2, 1, 5, layer_edges=layers).first()
+    # layer 0 has no edges: a hop; layer 1 goes 5, 3, 1 and looks once more: 3 hops, 4 distances; the base expands 1 and 0
+    assert (r.id, r.hops, r.dists) == (1, 1 + 3 + 2, 1 + 4 + 2)
+
+
+#: Queries whose SQL is compared here too; the smallest tables have as many vectors as the next.
+SEARCHES = ("robust_prune", "beam_search_layers", "profile_skew", "policy_hit_rate", "rank_corr", "level_share", "store_size_rowbic", "elias_fano_model", "rcm_order")
+
+
+@pytest.mark.parametrize("name", SEARCHES)
+def test_queries_match_their_sql(spark, name):
+    import duckdb
+
+    from nearfield.queries import ORACLE_SQL, QUERIES
+
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{d}/embeddings.parquet'")
+    want = con.execute(ORACLE_SQL[name])
+    columns = [x[0] for x in want.description]
+    flat = lambda rows: sorted(tuple(f"{v:.6f}" if isinstance(v, float) else str(v) for v in r) for r in rows)
+    assert flat(QUERIES[name](spark, d).select(*columns).collect()) == flat(want.fetchall())
 
 
 def test_search_matches_published_shape(spark):
