@@ -61,16 +61,14 @@ def cut_pieces(docs: DataFrame, vocabulary: str, max_tokens: int = 2048, end_id:
 def assign(lengths: np.ndarray, max_tokens: int, max_docs: int, max_attention: float, rule: str = "norm", weights: tuple = (1.0, 0.02, 0.02)) -> tuple[np.ndarray, np.ndarray]:
     """(bin, offset) of each piece; lengths must be in the order of placement.
 
-    Bins are kept as a matrix of residual capacities, each as a share of its
-    whole. 'dot' takes the feasible bin with the largest weighted dot product
-    of piece and residual, 'norm' the one whose weighted residual after placing
-    has the least Euclidean norm; ties go to the oldest bin.
+    Residual capacities of the open bins are kept in one array each. 'dot'
+    takes the feasible bin with the largest weighted dot product of piece and
+    residual, each as a share of its capacity, 'norm' the one whose weighted
+    residual after placing has the least Euclidean norm; ties go to the oldest.
     """
     caps = np.array([max_tokens, max_docs, max_attention], float)
-    w = np.asarray(weights, float)
-    left = np.empty((1024, 3))
-    used = np.empty(1024, np.int64)
-    name = np.empty(1024, np.int64)
+    w = np.asarray(weights, float) / caps**2
+    left, used, name = np.empty((3, 1024)), np.empty(1024, np.int64), np.empty(1024, np.int64)
     n_open = n_bins = 0
     out, at = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
     least = np.array([lengths.min(initial=1), 1, float(lengths.min(initial=1)) ** 2])
@@ -78,22 +76,23 @@ def assign(lengths: np.ndarray, max_tokens: int, max_docs: int, max_attention: f
         need = np.array([length, 1.0, float(length) * length])
         if (need > caps).any():
             raise ValueError(f"a piece of {length} tokens exceeds a capacity")
-        rest = left[:n_open] - need
-        fits = np.flatnonzero((rest >= 0).all(1))
-        if len(fits):
-            share = (rest[fits] if rule == "norm" else left[fits]) / caps
-            score = (w * share * share).sum(1) if rule == "norm" else -(share * (w * need / caps)).sum(1)
-            k = fits[np.argmin(score)]
+        rest = left[:, :n_open] - need[:, None]
+        fits = rest.min(0, initial=np.inf) >= 0
+        k = n_open
+        if fits.any():
+            score = w @ (rest * rest) if rule == "norm" else -((w * need) @ left[:, :n_open])
+            k = int(np.where(fits, score, np.inf).argmin())
         else:
-            if n_open == len(left):
-                left, used, name = np.resize(left, (2 * n_open, 3)), np.resize(used, 2 * n_open), np.resize(name, 2 * n_open)
-            k, n_open = n_open, n_open + 1
-            left[k], used[k], name[k], n_bins = caps, 0, n_bins, n_bins + 1
+            if n_open == left.shape[1]:
+                left, used, name = np.concatenate((left, left), 1), np.resize(used, 2 * n_open), np.resize(name, 2 * n_open)
+            left[:, k], used[k], name[k] = caps, 0, n_bins
+            n_open, n_bins = n_open + 1, n_bins + 1
         out[i], at[i] = name[k], used[k]
-        left[k] -= need
+        left[:, k] -= need
         used[k] += length
-        if (left[k] < least).any():  # nothing fits any more
-            left[k : n_open - 1], used[k : n_open - 1], name[k : n_open - 1] = left[k + 1 : n_open].copy(), used[k + 1 : n_open].copy(), name[k + 1 : n_open].copy()
+        if (left[:, k] < least).any():  # nothing fits any more
+            for x in (left, used, name):
+                x[..., k : n_open - 1] = x[..., k + 1 : n_open].copy()
             n_open -= 1
     return out, at
 

@@ -11,10 +11,10 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 
-import numpy as np
 import regex
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 #: The split of byte-level BPE vocabularies of this family, letters first (no other alternative starts where they match).
 PATTERN = r""" ?\p{L}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -48,6 +48,7 @@ class Pretokens:
             and not spec["model"].get("dropout")
         )
         self.find = regex.compile(PATTERN).findall
+        self.merge, self.chars = self.tok.model.tokenize, _byte_chars()
 
     def split(self, text: str) -> list[str] | None:
         """The pre-tokens, or None if the library must see the whole text."""
@@ -62,6 +63,17 @@ class Pretokens:
     def ids(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
+    def merged(self, piece: str) -> list[int]:
+        """The ids of one pre-token of split(), by the library's merges alone."""
+        return [t.id for t in self.merge(piece.encode().decode("latin-1").translate(self.chars))]
+
+
+def _byte_chars() -> dict[int, str]:
+    """Each byte of UTF-8 to the character that stands for it in the vocabulary, as the library writes them."""
+    spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+    every = [*range(0x800), *range(0x800, 0xD800, 0x400), *range(0xE000, 0x10000, 0x400), *range(0x10000, 0x110000, 0x10000)]
+    return {b: c for x in map(chr, every) for b, c in zip(x.encode(), spell(x)[0][0])}
+
 
 def whole_tokens(path: str) -> frozenset[str]:
     """The vocabulary strings proven to encode alone as one token and to be one pre-token."""
@@ -87,7 +99,7 @@ class Counts(dict):
         if len(self) >= CACHE + len(self.proven):
             self.clear()
             self.update(dict.fromkeys(self.proven, 1))
-        n = len(self.pre.ids(piece))
+        n = len(self.pre.merged(piece))
         if len(piece) <= 64:
             self[piece] = n
         return n
@@ -103,7 +115,8 @@ class Ids(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
-        b = np.array(self.pre.ids(piece), "<u4").tobytes()
+        ids = self.pre.merged(piece)
+        b = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= 64:
             self[piece] = b
         return b

@@ -74,6 +74,9 @@ def test_token_counts_and_packing(spark):
     for _ in range(300):
         t = "".join(rng.choice("ab'st 1\n\té ²ªª\xa0!…ſ") for _ in range(rng.randint(1, 30)))
         assert pre.split(t) is None or [i for p in pre.split(t) for i in pre.ids(p)] == pre.ids(t), repr(t)
+        assert pre.split(t) is None or [i for p in pre.split(t) for i in pre.merged(p)] == pre.ids(t), repr(t)
+    for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000, 97)]):  # one character is one pre-token
+        assert pre.merged(c) == pre.ids(c), repr(c)
 
 
 def test_quality_rules(spark):
