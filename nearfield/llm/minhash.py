@@ -34,6 +34,8 @@ from .common import arrow_map, hash_words, id_text, materialize, mix, raw_bytes
 from .components import connected_components
 
 MULTIPLIER = 0x9E3779B97F4A7C15
+#: Tasks that a hot group's rows are dealt to while its size is joined to them.
+SALTS = 16
 
 
 def shingles(raw: bytes, n: int = 5) -> np.ndarray:
@@ -74,6 +76,12 @@ def signatures(sets: list[np.ndarray], seeds: np.ndarray, some: int = 1 << 15) -
     return out
 
 
+def _salted(rows: DataFrame, member: str, sizes: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined with sizes by b, a hot b's rows by (b, salt): sizes is repeated SALTS times, rows aren't."""
+    own = rows.withColumn("salt", F.pmod(F.xxhash64("b", member), F.lit(SALTS)).cast("int"))
+    return own.join(sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["b", "salt"], how).drop("salt")
+
+
 def _print(own: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(own.tobytes())
 
@@ -102,8 +110,9 @@ def _confirm(pairs: DataFrame, texts: DataFrame, n: int, percent: int, spread: i
     Rows of b's partners are dealt by b, in parts of about `spread`, each part
     led by b's own row: a set is made once per part, and a hot b is split.
     """
-    sizes = pairs.groupBy("b").agg(F.count("*").alias("n"))
-    dealt = pairs.join(sizes, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / spread)).cast("int").alias("part"))
+    hot = pairs.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > spread)
+    part = F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / spread)).cast("int")
+    dealt = _salted(pairs, "a", hot, "left").select("a", "b", F.coalesce(part, F.lit(0)).alias("part"))
     leads = dealt.select("b", "part").distinct().join(texts.select(F.col("cid").alias("b"), "text"), "b").select("b", "part", F.lit(None).cast("long").alias("a"), "text")
     others = dealt.join(texts.select(F.col("cid").alias("a"), "text"), "a").select("b", "part", "a", "text")
     rows = leads.unionByName(others).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
@@ -226,7 +235,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, coordinates:
     groups = stars.union(stars.select(F.col("b").alias("a"), "b").distinct()).join(labels.select(F.col("node").alias("a"), "component"), "a", "left")
     groups = materialize(groups.select("b", F.col("a").alias("cid"), F.coalesce("component", "a").alias("comp")), "groups")
     mixed = groups.groupBy("b").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("n > 2 and lo != hi")
-    open_ = groups.join(mixed.select("b", F.ceil(F.col("n") / block).cast("int").alias("parts")), "b").withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    open_ = _salted(groups, "cid", mixed.select("b", F.ceil(F.col("n") / block).cast("int").alias("parts"))).withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
     open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     side = F.when(F.col("mine") == F.col("other"), 2).otherwise((F.col("mine") < F.col("other")).cast("int"))
     open_ = open_.select("b", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "cid", "comp", side.alias("side")).join(texts, "cid").select("b", "x", "y", "cid", "comp", "side", "text")

@@ -148,6 +148,16 @@ def test_near_duplicates(spark):
         assert {d: (r.n_shingles, r.component_id, r.kept) for d, r in got.items()} == {d: (len(sets[d]), find(d), find(d) == d) for d in sets}
 
 
+def test_near_duplicates_of_a_hot_text(spark):
+    """More near copies of one text than a part of the confirming step holds."""
+    from nearfield.llm.minhash import near_duplicates
+
+    words = [f"h{i}" for i in range(120)]
+    texts = [" ".join([*words[: i % 110], f"x{i}", *words[i % 110 + 1 :]]) for i in range(700)] + ["of another kind altogether , this one"]
+    got = _by_id(near_duplicates(_docs(spark, texts), block=256))
+    assert {r.component_id for r in got.values()} == {0, 700} and [d for d, r in got.items() if r.kept] in ([0, 700], [700, 0])
+
+
 def test_suffix_dedup(spark):
     from nearfield.llm.suffix_dedup import remove_repeats
 
