@@ -14,7 +14,8 @@ right extension reach `length` together.
 Equal texts are one text to all this, so copies cost nothing; k-grams with
 more than `block` contexts are split into blocks, and each pair of blocks is a
 task of its own. Long runs of a short period are covered by themselves, only
-their first and last anchors are posted.
+their first and last anchors are posted; for what begins in a run and goes on
+after it, every text also posts the end of each run its anchors lie in.
 """
 
 from __future__ import annotations
@@ -66,6 +67,33 @@ def _leftmost_minima(h: np.ndarray, w: int) -> np.ndarray:
     return at[np.flatnonzero(np.diff(at, prepend=-1))]
 
 
+def _run_end(raw: bytes, at: int, d: int) -> int:
+    """Where bytes stop to equal those d before them, from `at` on."""
+    step = 256
+    while raw[at : at + step] == raw[at - d : at - d + step] and at + step <= len(raw):
+        at, step = at + step, 2 * step
+    own, before = (np.frombuffer(raw[x : x + step], np.uint8) for x in (at, at - d))
+    differ = np.flatnonzero(own != before[: len(own)])
+    return at + int(differ[0]) if len(differ) else at + len(own)
+
+
+def _run_ends(raw: bytes, places: list[int], k: int) -> list[int]:
+    """Ends of the periodic runs, of two periods and k bytes at least, that anchors lie in."""
+    out, end, d = [], 0, 0
+    for q in places:
+        if q + k + d <= end:
+            continue
+        again = raw.find(raw[q : q + k], q + 1, q + 2 * k)
+        if again < 0:
+            end = 0
+            continue
+        d = again - q
+        end = _run_end(raw, again + k, d)
+        if end - q >= 2 * d + k:
+            out.append(end)
+    return out
+
+
 def anchors(raw: bytes, length: int, k: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """(places, hashes, spans): the posted anchors, and what long periodic runs cover by themselves."""
     if len(raw) < length:
@@ -91,10 +119,15 @@ def anchors(raw: bytes, length: int, k: int) -> tuple[np.ndarray, np.ndarray, li
         lo, hi, d = runs[i], runs[j] + 1, int(gap[runs[i]])
         start, end = int(at[lo]), int(at[hi]) + k
         if end - start >= length + d and raw[start : end - d] == raw[start + d : end]:
-            spans.append((start, end))
+            spans.append((start, _run_end(raw, end, d)))
             keep[lo + 2 : hi - 1] = False
         i = j + 1
-    return at[keep], hs[keep], spans
+    # where a window holds a dropped anchor and isn't within the run, it holds the k-gram with the byte after the run, in every text
+    more = np.array(sorted({e + 1 - k for e in _run_ends(raw, at.tolist(), k) if e < len(raw)} - set(at[keep].tolist())), np.int64)
+    if not len(more):
+        return at[keep], hs[keep], spans
+    ends = np.array([_kgram_hashes(a[p : p + k], k)[0] for p in more.tolist()], np.uint64)
+    return np.concatenate((at[keep], more)), np.concatenate((hs[keep], ends)), spans
 
 
 def _agree(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:

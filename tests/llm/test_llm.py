@@ -182,6 +182,29 @@ def test_suffix_dedup(spark):
             assert got[d].n_spans == int((np.diff(np.concatenate(([0], on.astype(int)))) == 1).sum())
 
 
+def test_suffix_dedup_after_periodic_runs(spark):
+    """A text with a long run and one with its tail, both followed by the same short text and then by others."""
+    from nearfield.llm.suffix_dedup import remove_repeats
+
+    rng, texts, length = random.Random(12), [], 40
+    some = lambda n: "".join(map(rng.choice, ["abcdefghijklmnopqrstuvwxyz0123456789"] * n))
+    for _ in range(1500):
+        unit, tail, more = some(rng.randint(1, 10)), rng.randint(20, 39), rng.randint(0, 4)
+        run, x = (unit * 160)[:160], some(length - tail + more)
+        texts += [some(20) + run + x + some(60), some(20) + run[-tail:] + x + some(60)]
+        if rng.random() < 0.3:
+            texts.append(some(20) + (unit * 160)[3:150] + run[-7:] + x + some(50))
+    raws = [t.encode() for t in texts]
+    count = Counter(r[i : i + length] for r in raws for i in range(len(r) - length + 1))
+    got = _by_id(remove_repeats(_docs(spark, texts), length))
+    for d, r in enumerate(raws):
+        on = np.zeros(len(r), bool)
+        for i in range(len(r) - length + 1):
+            if count[r[i : i + length]] > 1:
+                on[i : i + length] = True
+        assert (got[d].n_removed, got[d].kept_sha256) == (int(on.sum()), hashlib.sha256(bytes(np.frombuffer(r, np.uint8)[~on])).hexdigest()), d
+
+
 def test_lm_scoring(spark):
     from nearfield.llm.elias_fano import EliasFano
     from nearfield.llm.lm_scoring import score_texts
