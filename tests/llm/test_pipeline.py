@@ -105,3 +105,20 @@ def test_every_stage(spark, tmp_path):
         assert seqs.get(r.sequence_id, 0) == r.offset
         seqs[r.sequence_id] = r.offset + r.length
     assert set(own) == set(clean) and max(seqs.values()) <= 2048 and sum(seqs.values()) == sum(map(len, own.values()))
+
+
+def test_near_dedup_of_repeated_and_null_ids(spark, tmp_path):
+    """Rows are what stays or goes, not ids."""
+    import corpus_pipeline as c
+
+    rng = random.Random(13)
+    one, two, three, four = (" ".join(f"w{rng.randrange(500)}" for _ in range(120)) for _ in range(4))
+    rows = [(1, one), (1, one), (3, two), (5, two + " more"), (5, three), (None, four), (None, four), (None, one), (7, four + " more"), (None, None), (None, None), (8, ""), (8, "")]
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(path)
+    single = c.near_dedup(spark, spark.read.parquet(path), str(tmp_path)).collect()
+    want = [(1, one), (3, two), (5, three), (7, four + " more"), (None, None), (None, None), (8, ""), (8, "")]
+    assert Counter((r.doc_id, r.text) for r in single) == Counter(want)
+    spark.createDataFrame(single, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/single.parquet")
+    cut = c.suffix_dedup(spark, spark.read.parquet(f"{tmp_path}/single.parquet"), str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.text) for r in cut) == Counter((i, t or "") for i, t in want)
