@@ -277,6 +277,35 @@ def test_licenses(spark):
     assert {d: (r.license, r.origin) for d, r in got.items()} == {0: ("MIT", "own"), 1: ("MIT", "inherited"), 2: ("Apache-2.0", "own"), 3: (None, "none"), 4: (None, "none"), 5: ("MIT", "inherited")}
 
 
+def test_whole_licenses_and_headers(spark):
+    from pathlib import Path
+
+    from nearfield.llm.licenses import HEADERS, full_texts, scan_licenses
+
+    def reworked(text):  # another holder, other line ends
+        words = text.replace("The Regents of the University of California", "2020 Jane Roe").replace("REGENTS", "AUTHORS").split()
+        return "Copyright 2021 Some Company, Inc.\n" + "\n".join(" ".join(words[i : i + 9]) for i in range(0, len(words), 9))
+
+    common = {"Apache-2.0": "Apache-2.0", "BSD": "BSD-3-Clause", "MPL-2.0": "MPL-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "CC0-1.0": "CC0-1.0"}
+    texts = [(lic, (Path("/usr/share/common-licenses") / name).read_text()) for name, lic in common.items()]
+    texts += [x for x in full_texts() if x[0] in ("MIT", "ISC", "BSD-2-Clause", "Unlicense", "AGPL-3.0") and x not in HEADERS]
+    files, want = [], {}
+    for k, (lic, text) in enumerate(texts):
+        files += [(2 * k, f"p{k}/LICENSE", reworked(text)), (2 * k + 1, f"p{k}/a/b.py", "x = 1")]
+        want |= {2 * k: (lic, "own"), 2 * k + 1: (lic, "inherited")}
+    styles = [("", "# ", ""), ("/*\n", " * ", "\n */"), ("/*\n", "", "\n*/"), ("<!--\n", "  ", "\n-->"), ("", "// ", "")]
+    for k, (lic, text) in enumerate(HEADERS):
+        first, mark, last = styles[k % len(styles)]
+        words, d = text.split(), 100 + k
+        lines = [" ".join(words[i : i + 4]) for i in range(0, len(words), 4)]
+        files.append((d, f"h{k}/x", "start\n" + first + "\n".join(mark + x for x in lines) + last + "\ncode(1)\n"))
+        want[d] = (lic, "own")
+    files.append((200, "long/x", "# no notice here\n" * 20000 + "# copyright\n"))
+    want[200] = (None, "none")
+    got = _by_id(scan_licenses(spark, spark.createDataFrame(files, "doc_id long, path string, text string")))
+    assert {d: (r.license, r.origin) for d, r in got.items()} == want
+
+
 def test_empty_tables(spark):
     from nearfield.llm.decontamination import find_leaks
     from nearfield.llm.lm_scoring import score_texts
