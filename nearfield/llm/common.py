@@ -7,6 +7,7 @@ own, so extra columns whose names clash with an operator's cannot disturb it.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -76,7 +77,7 @@ def arrow_map(df: DataFrame, fn: Callable, schema: str, rows: int = 0, carry: tu
     arrow_full = pa.schema([*arrow, *((f"_carry_{c}", _arrow(df.schema[at].dataType)) for c, at in along)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in _then_free(batches):
             for k in range(0, whole.num_rows, rows or whole.num_rows or 1):
                 batch = whole.slice(k, rows) if rows else whole
                 if (out := fn(batch)) is not None:
@@ -87,6 +88,17 @@ def arrow_map(df: DataFrame, fn: Callable, schema: str, rows: int = 0, carry: tu
     return out.select(*(f.name for f in own), *(F.col(f"_carry_{c}").alias(c) for c, _ in along))
 
 
+def _then_free(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """batches; after the last one the worker, which waits for other tasks, gives back what it doesn't need."""
+    yield from batches
+    HASHES.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def _as(values, kind: pa.DataType) -> pa.Array:
     if isinstance(values, pa.ChunkedArray):
         values = values.combine_chunks()

@@ -6,15 +6,20 @@
 2. Classes are posted under each (coordinate, value). A pair that matches in at
    least `least` coordinates shares one of the coordinates - least + 1 rarest
    posts of both (prefix filter, one global order), so frequent posts are
-   skipped, unless a class has hardly any others.
+   skipped, unless a class has hardly any others; a class with fewer than
+   `least` shared posts has no pair.
 3. Each list is joined to its smallest member, which is linear in the posts
-   whatever a list's length; those pairs are confirmed on the full sets, and
+   whatever a list's length. The collisions of these pairs are counted over all
+   coordinates; pairs of `least` or more are confirmed on the full sets, and
    links are contracted to components.
 4. Members of all lists with the same smallest member are a group. Groups that
-   still hold several components are settled: pairs of different components are
-   compared on the full sets until none is left, and only the links that join
-   components leave the task. Groups over `block` members are split into blocks
-   and each pair of blocks is a task of its own. Nothing is capped.
+   still hold several components are counted: pairs of different components
+   that collide in the prefix are merged over the other coordinates, those
+   that can't reach `least` are skipped. Only members of a pair at or over
+   `least` go on with their texts, where such pairs are confirmed on the full
+   sets, and only the links that join components leave the task. Groups over
+   `block` members or `block_shingles` are split into blocks and each pair of
+   blocks is a task of its own. Nothing is capped.
 
 With J = 0.75, 64 coordinates and least = 30 the chance to miss a pair is below
 one in a million; what is kept is exact, as links are confirmed on full sets.
@@ -101,7 +106,7 @@ def _base(docs: DataFrame, n: int, coordinates: int, id_col: str, text_col: str)
 
     rows = id_text(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return arrow_map(rows, batch, f"doc_id {kind}, n_shingles long, fp binary, sig array<int>", rows=2000)
+    return arrow_map(rows, batch, f"doc_id {kind}, n_shingles long, fp binary, sig array<int>", rows=500)
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, n: int, percent: int, spread: int = 256) -> DataFrame:
@@ -136,18 +141,27 @@ def _confirm(pairs: DataFrame, texts: DataFrame, n: int, percent: int, spread: i
     return rows.mapInArrow(run, "a long, b long")
 
 
-def links_between(members: list[tuple[int, int, int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
-    """Links that join components, from members (cid, component, side, set): at most one fewer than there are members.
+def collisions(sigs: np.ndarray, own: np.ndarray, least: int) -> np.ndarray:
+    """Where rows of sigs match own in `least` coordinates or more: those without a match in the prefix are skipped, the others merged on."""
+    prefix = sigs.shape[1] - least + 1
+    count = (sigs[:, :prefix] == own[:prefix]).sum(1)
+    met = np.flatnonzero(count)
+    count[met] += (sigs[met, prefix:] == own[prefix:]).sum(1)
+    return count >= least
 
-    Every pair of different components is compared exactly, on sides 0 and 1
-    only across; one member's intersections with all others come from one pass
-    over the shingles that occur twice. A pair whose components a link has
-    already joined needs no other.
+
+def links_between(members: list[tuple], percent: int, least: int) -> list[tuple[int, int]]:
+    """Links that join components, from members (cid, component, side, signature, set): at most one fewer than there are members.
+
+    Every pair of different components that collides in `least` coordinates is
+    compared exactly, on sides 0 and 1 only across; one member's intersections
+    with all others come from one pass over the shingles that occur twice. A
+    pair whose components a link has already joined needs no other.
     """
-    sizes = np.array([len(m[3]) for m in members])
+    sizes, sigs = np.array([len(m[4]) for m in members]), np.stack([m[3] for m in members])
     comp, side = np.array([m[1] for m in members]), np.array([m[2] for m in members])
     owner = np.repeat(np.arange(len(members)), sizes)
-    _, ids, count = np.unique(np.concatenate([m[3] for m in members]), return_inverse=True, return_counts=True)
+    _, ids, count = np.unique(np.concatenate([m[4] for m in members]), return_inverse=True, return_counts=True)
     twice = count > 1
     place = np.cumsum(twice) - 1
     keep = twice[ids]
@@ -155,12 +169,12 @@ def links_between(members: list[tuple[int, int, int, np.ndarray]], percent: int)
     edges = np.searchsorted(owner, np.arange(len(members) + 1))
     mark, out = np.zeros(int(twice.sum()), bool), []
     for i in range(len(members) - 1):
-        open_ = comp[i + 1 :] != comp[i]
-        open_ &= 100 * np.minimum(sizes[i + 1 :], sizes[i]) >= percent * np.maximum(sizes[i + 1 :], sizes[i])
-        if side[i] != 2:
-            open_ &= side[i + 1 :] != side[i]
+        open_ = _open(comp, side, i) & (100 * np.minimum(sizes[i + 1 :], sizes[i]) >= percent * np.maximum(sizes[i + 1 :], sizes[i]))
         if not open_.any() or edges[i] == edges[i + 1]:
             continue
+        open_ &= collisions(sigs[i + 1 :], sigs[i], least)
+        if not open_.any():
+            continue
         own = flat[edges[i] : edges[i + 1]]
         mark[own] = True
         total = np.concatenate(([0], np.cumsum(mark[flat[edges[i + 1] :]])))
@@ -173,24 +187,59 @@ def links_between(members: list[tuple[int, int, int, np.ndarray]], percent: int)
     return out
 
 
-def _settle(rows: DataFrame, n: int, percent: int) -> DataFrame:
-    """links_between() of each group of rows (b, x, y, cid, comp, side, text), sorted by (b, x, y)."""
+def _open(comp: np.ndarray, side: np.ndarray, i: int) -> np.ndarray:
+    """Which members after i are of another component, and of the other side unless theirs is 2."""
+    found = comp[i + 1 :] != comp[i]
+    return found if side[i] == 2 else found & (side[i + 1 :] != side[i])
+
+
+def _by_task(batches: Iterator[pa.RecordBatch], keys: int, coordinates: int) -> Iterator[tuple[tuple, list]]:
+    """(key, rows) of consecutive rows with equal first columns; a column `sig` comes as arrays, `text` as bytes."""
+    at, own = None, []
+    for batch in batches:
+        cols = []
+        for name in batch.schema.names:
+            col = batch.column(name)
+            cols.append(col.flatten().to_numpy().reshape(-1, coordinates) if name == "sig" else raw_bytes(batch) if name == "text" else col.to_pylist())
+        for row in zip(*cols):
+            if at != row[:keys]:
+                if own:
+                    yield at, own
+                at, own = row[:keys], []
+            own.append(row[keys:])
+    if own:
+        yield at, own
+
+
+def _colliding(rows: DataFrame, least: int, coordinates: int) -> DataFrame:
+    """Of rows (b, x, y, cid, comp, side, sig), sorted by (b, x, y), those that collide with one of another component (b, x, y, cid)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own, out = None, [], []
-        for batch in batches:
-            for b, x, y, cid, comp, side, raw in zip(*(batch.column(k).to_pylist() for k in range(6)), raw_bytes(batch)):
-                if at != (b, x, y):
-                    out += links_between(own, percent) if own else []
-                    at, own = (b, x, y), []
-                own.append((cid, comp, side, shingles(raw, n)))
-        out += links_between(own, percent) if own else []
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*out) if out else ((), ()))], names=["a", "b"])
+        for key, own in _by_task(batches, 3, coordinates):
+            cids, comp, side = (np.array([m[k] for m in own]) for k in range(3))
+            sigs, met = np.stack([m[3] for m in own]), np.zeros(len(own), bool)
+            for i in range(len(own) - 1):
+                found = np.flatnonzero(_open(comp, side, i)) + i + 1
+                found = found[collisions(sigs[found], sigs[i], least)] if len(found) else found
+                met[found], met[i] = True, met[i] or len(found) > 0
+            if met.any():
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(met.sum(), k)) for k in key), pa.array(cids[met])], names=["b", "x", "y", "cid"])
+
+    return rows.mapInArrow(run, "b long, x long, y long, cid long")
+
+
+def _settle(rows: DataFrame, n: int, percent: int, least: int, coordinates: int) -> DataFrame:
+    """links_between() of each group of rows (b, x, y, cid, comp, side, sig, text), sorted by (b, x, y)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, own in _by_task(batches, 3, coordinates):
+            out = links_between([(*m[:4], shingles(m[4], n)) for m in own], percent, least)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*out) if out else ((), ()))], names=["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, coordinates: int = 64, least: int = 30, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, coordinates: int = 64, least: int = 30, block: int = 512, block_shingles: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs.
 
     Linked are documents whose sets of n-word shingles (ASCII lower case, words
@@ -199,54 +248,72 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, coordinates:
     the document's own. Null and empty texts and those without words have no
     set and are linked with nothing; so are rows with a null id (component_id
     null, kept). Rows that repeat an id are documents of their own with the
-    same id. An empty table gives no rows.
+    same id. Very long texts are taken whole. Columns other than the two named
+    are not looked at. An empty table gives no rows.
     """
     base = materialize(_base(docs, n, coordinates, id_col, text_col), "sets")
-    classes = base.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("sig").alias("sig"))
+    classes = base.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("sig").alias("sig"), F.count("*").alias("copies"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     posts = classes.select("cid", F.posexplode("sig").alias("pos", "value")).select("cid", F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key"))
-    shared = posts.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    own = Window.partitionBy("cid")
-    prefix = (
-        posts.join(shared, "key")
-        .withColumn("rank", F.row_number().over(own.orderBy("df", "key")))
-        .withColumn("n", F.count("*").over(own))
-        .where(F.col("rank") <= F.col("n") - (least - 1))  # the rarest of all, less those that nobody shares
-        .select("key", "cid")
-    )
-    prefix = materialize(prefix, "prefix")
-    lists = materialize(prefix.groupBy("key").agg(F.min("cid").alias("b"), F.count("*").alias("n")).where("n > 1"), "lists")
-    posted = prefix.join(lists, "key")
-
-    wanted = posted.select("cid").distinct().join(classes.select("cid", "rep", "fp"), "cid")
-    found = id_text(docs, id_col, text_col).join(wanted, F.col("doc_id") == F.col("rep")).select("cid", "fp", "text")
-
-    def right(b: pa.RecordBatch) -> dict:  # an id can be repeated: only the row with the class's set counts
-        ok = [_print(shingles(raw, n)) == fp for raw, fp in zip(raw_bytes(b), b.column(1).to_pylist())]
-        return {"cid": b.column(0).filter(pa.array(ok)), "text": b.column(2).filter(pa.array(ok))}
-
-    texts = materialize(arrow_map(found, right, "cid long, text string"), "texts")
-
-    stars = materialize(posted.where("cid != b").select(F.col("cid").alias("a"), "b").distinct(), "stars")
-    links = materialize(_confirm(stars, texts, n, percent), "links")
+    shared = posts.groupBy("key").agg(F.count("*").alias("df"), F.min("cid").alias("b")).where("df > 1")
+    own = posts.join(shared, "key").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("df", "key", "b"))).alias("p")).where(F.size("p") >= least)
+    prefix = F.slice("p", 1, F.size("p") - (least - 1))  # the rarest of all, less those that nobody shares
+    stars = own.select(F.col("cid").alias("a"), F.explode(F.array_distinct(F.transform(prefix, lambda x: x.b))).alias("b")).where("a != b")
+    stars = materialize(stars, "stars")
+
+    sig = classes.select(F.col("cid").alias("a"), F.col("sig").alias("own"))
+    counted = stars.join(sig, "a").join(sig.select(F.col("a").alias("b"), F.col("own").alias("other")), "b")
+    matches = F.aggregate(F.zip_with("own", "other", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    pairs = materialize(counted.where(matches >= least).select("a", "b"), "pairs")
+
+    def texts_of(cids: DataFrame, name: str) -> DataFrame:
+        """(cid, text) of one row of each class; an id can be repeated: only a row with the class's set counts."""
+        wanted = cids.join(classes.select("cid", "rep", "fp"), "cid")
+        found = id_text(docs, id_col, text_col).join(wanted, F.col("doc_id") == F.col("rep")).select("cid", "fp", "text")
+
+        seen: set[int] = set()  # of one task; rows that repeat id and text meet there, and what is left of them does no harm
+
+        def right(b: pa.RecordBatch) -> dict:
+            ok = []
+            for cid, raw, fp in zip(b.column(0).to_pylist(), raw_bytes(b), b.column(1).to_pylist()):
+                ok.append(cid not in seen and _print(shingles(raw, n)) == fp)
+                if ok[-1]:
+                    seen.add(cid)
+            return {"cid": b.column(0).filter(pa.array(ok)), "text": b.column(2).filter(pa.array(ok))}
+
+        return materialize(arrow_map(found, right, "cid long, text string", rows=500), name)
+
+    texts = texts_of(pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct(), "texts")
+    links = materialize(_confirm(pairs, texts, n, percent), "links")
     labels = materialize(connected_components(links), "labels")
 
     groups = stars.union(stars.select(F.col("b").alias("a"), "b").distinct()).join(labels.select(F.col("node").alias("a"), "component"), "a", "left")
-    groups = materialize(groups.select("b", F.col("a").alias("cid"), F.coalesce("component", "a").alias("comp")), "groups")
-    mixed = groups.groupBy("b").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("n > 2 and lo != hi")
-    open_ = _salted(groups, "cid", mixed.select("b", F.ceil(F.col("n") / block).cast("int").alias("parts"))).withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    groups = groups.select("b", F.col("a").alias("cid"), F.coalesce("component", "a").alias("comp")).join(classes.select("cid", "size"), "cid")
+    groups = materialize(groups, "groups")
+    mixed = groups.groupBy("b").agg(F.count("*").alias("n"), F.sum("size").alias("all"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("n > 2 and lo != hi")
+    open_ = _salted(groups, "cid", mixed.select("b", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("all") / block_shingles)).cast("int").alias("parts"))).withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
     open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     side = F.when(F.col("mine") == F.col("other"), 2).otherwise((F.col("mine") < F.col("other")).cast("int"))
-    open_ = open_.select("b", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "cid", "comp", side.alias("side")).join(texts, "cid").select("b", "x", "y", "cid", "comp", "side", "text")
-    more = materialize(_settle(open_.repartition("b", "x", "y").sortWithinPartitions("b", "x", "y"), n, percent), "more")
-    if more.limit(1).count():
-        labels = connected_components(links.union(more))
-
-    label = classes.select("cid", "fp", "rep").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    open_ = open_.select("b", F.least("mine", "other").cast("long").alias("x"), F.greatest("mine", "other").cast("long").alias("y"), "cid", "comp", side.alias("side"))
+    rows = open_.join(classes.select("cid", "sig"), "cid").select("b", "x", "y", "cid", "comp", "side", "sig")
+    met = materialize(_colliding(rows.repartition("b", "x", "y").sortWithinPartitions("b", "x", "y"), least, coordinates), "colliding")
+    if met.limit(1).count():
+        more = texts_of(met.select("cid").distinct().join(texts.select("cid"), "cid", "left_anti"), "more_texts")
+        rows = rows.join(met, ["b", "x", "y", "cid"]).join(texts.union(more), "cid").select("b", "x", "y", "cid", "comp", "side", "sig", "text")
+        more = materialize(_settle(rows.repartition("b", "x", "y").sortWithinPartitions("b", "x", "y"), n, percent, least, coordinates), "more")
+        labels = materialize(connected_components(links.union(more)), "labels")
+
+    label = classes.select("cid", "fp", "rep", "copies").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     label = materialize(label, "label")
     least_id = label.groupBy("component").agg(F.min("rep").alias("component_id"))
-    label = label.join(least_id, "component").select("fp", "component_id")
-    out = base.select("doc_id", "n_shingles", "fp").join(label, "fp", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-
+    label = label.join(least_id, "component").select("fp", "copies", "component_id")
+
+    # a set that a thousandth of all rows share can be one of a thousand sets only: their labels are broadcast, and no such rows meet in one task
+    many = max(1000, (classes.agg(F.sum("copies")).first()[0] or 0) // 1000)
+    base = base.select("doc_id", "n_shingles", "fp")
+    hot = F.broadcast(label.where(F.col("copies") > many).select("fp", "component_id"))
+    rare = base.join(F.broadcast(classes.where(F.col("copies") > many).select("fp")), "fp", "left_anti").where("fp is not null")
+    out = rare.join(label.select("fp", "component_id"), "fp").unionByName(base.join(hot, "fp")).select("doc_id", "n_shingles", "component_id")
+    out = out.unionByName(base.where("fp is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
