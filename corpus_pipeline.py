@@ -38,9 +38,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts every passage of 400 bytes or more that occurs elsewhere; part of a character at a cut goes too."""
+    """Cuts every passage of more than 50 words that occurs elsewhere, wherever it does, as op9 cuts its strings of 400 bytes.
+
+    Words are those of near_dedup, so case and white space between them don't
+    hide a passage.
+    """
     release(spark)
-    return remove_repeats(docs, 400, keep_text=True).select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.char_length("kept_text").cast("long").alias("n_chars"))
+    return remove_repeats(docs, 51, unit="word", keep_text=True).select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.char_length("kept_text").cast("long").alias("n_chars"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

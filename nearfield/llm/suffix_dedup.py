@@ -21,6 +21,7 @@ after it, every text also posts the end of each run its anchors lie in.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +30,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, id_text, materialize, mix, raw_bytes
+from .common import arrow_map, hash_words, id_text, materialize, mix, raw_bytes
 
+#: Bytes that stand for a word where words are the units.
+CODE = 8
+WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 BASE = 0x9E3779B97F4A7C15
 CHUNK = 1 << 18
 _POWERS: list[np.ndarray] = []
@@ -242,7 +246,21 @@ def _same_text(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -
     return rows.select("tid", "text", *(c for c in rows.columns if c not in ("tid", "text")))
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, k: int | None = None, block: int = 4096, keep_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _units(raw: bytes, unit: str) -> bytes:
+    """What repeats are sought in: the text's bytes, or CODE bytes of hash for each word, ASCII letters in lower case."""
+    return raw if unit == "byte" else hash_words(raw.lower().split()).tobytes()
+
+
+def _in_text(raw: bytes, spans: list[tuple[int, int]], unit: str, length: int) -> list[tuple[int, int]]:
+    """Spans of the text that spans of its units stand for; of words, from the first one's start to the last one's end."""
+    if unit == "byte" or not spans:
+        return spans
+    at = [m.span() for m in WORD.finditer(raw)]
+    words = [(-(-s // CODE), e // CODE) for s, e in spans]
+    return [(at[s][0], at[e - 1][1]) for s, e in words if e - s >= length]
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, k: int | None = None, block: int = 4096, keep_text: bool = False, unit: str = "byte", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of docs.
 
     Removed is each byte within a string of `length` bytes that also starts
@@ -251,16 +269,22 @@ def remove_repeats(docs: DataFrame, length: int = 400, k: int | None = None, blo
     (what is left, without parts of characters at cuts). Null and empty texts,
     and texts shorter than `length`, keep all; rows with equal or null ids are
     texts of their own; an empty table gives no rows. k: bytes of an anchor,
-    by default a quarter of `length`.
+    by default a quarter of `length`. unit 'word': length counts words (runs of
+    bytes but ASCII white space, ASCII letters in either case alike), and what
+    is removed goes from the first word's start to the last one's end.
+    Very long texts are taken whole; extra columns are carried with keep_text.
     """
+    least, length = length, length if unit == "byte" else length * CODE
     k = k or max(1, length // 4)
 
     def scan(b: pa.RecordBatch) -> dict:
-        out = {"doc_id": b.column(0), "tid": [], "n_bytes": [], "sha": [], "anchors": [], "spans": []}
+        out = {"doc_id": b.column(0), "tid": [], "n_bytes": [], "n_units": [], "sha": [], "anchors": [], "spans": []}
         for raw in raw_bytes(b):
-            at, hs, spans = anchors(raw, length, k)
+            units = _units(raw, unit)
+            at, hs, spans = anchors(units, length, k)
             out["tid"].append(_tid(raw))
             out["n_bytes"].append(len(raw))
+            out["n_units"].append(len(units))
             out["sha"].append(hashlib.sha256(raw).hexdigest())
             out["anchors"].append([{"h": h, "pos": p} for h, p in zip(hs.view(np.int64).tolist(), at.tolist())])
             out["spans"].append([{"start": s, "end": e} for s, e in spans])
@@ -269,8 +293,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, k: int | None = None, blo
     rows = id_text(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
     span = "array<struct<start:long,end:long>>"
-    base = materialize(arrow_map(rows, scan, f"doc_id {kind}, tid binary, n_bytes long, sha string, anchors array<struct<h:long,pos:long>>, spans {span}", rows=2000), "anchors")
-    texts = materialize(base.where(F.col("n_bytes") >= length).groupBy("tid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "texts")
+    base = materialize(arrow_map(rows, scan, f"doc_id {kind}, tid binary, n_bytes long, n_units long, sha string, anchors array<struct<h:long,pos:long>>, spans {span}", rows=500), "anchors")
+    texts = materialize(base.where(F.col("n_units") >= length).groupBy("tid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "texts")
 
     posts = base.select("tid", F.explode("anchors").alias("a")).select("tid", "a.h", "a.pos").distinct()
     shared = posts.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
@@ -281,11 +305,12 @@ def remove_repeats(docs: DataFrame, length: int = 400, k: int | None = None, blo
     def right(b: pa.RecordBatch) -> pa.RecordBatch:
         return b.filter(pa.array([_tid(raw) == t for raw, t in zip(raw_bytes(b), b.column(0).to_pylist())]))
 
-    near = materialize(arrow_map(_same_text(docs, wanted, id_col, text_col), right, f"tid binary, text string, copies long, at array<struct<h:long,pos:long,n:long>>, spans {span}", rows=2000), "near")
+    near = materialize(arrow_map(_same_text(docs, wanted, id_col, text_col), right, f"tid binary, text string, copies long, at array<struct<h:long,pos:long,n:long>>, spans {span}", rows=500), "near")
 
     def contexts(b: pa.RecordBatch) -> dict:
         out = {c: [] for c in ("tid", "h", "pos", "n", "left", "right")}
         for raw, tid, at in zip(raw_bytes(b), b.column(0).to_pylist(), b.column(2).to_pylist()):
+            raw = _units(raw, unit) if at else raw
             for x in at or ():
                 p = x["pos"]
                 for c, v in zip(out, (tid, x["h"], p, x["n"], raw[max(0, p - length + k) : p][::-1], raw[p : p + length])):
@@ -301,7 +326,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, k: int | None = None, blo
     def remove(b: pa.RecordBatch) -> dict:
         out = {c: [] for c in ("tid", "n_removed", "n_spans", "kept_sha256", "kept_text")}
         for tid, raw, own, cuts in zip(b.column(0).to_pylist(), raw_bytes(b), b.column(2).to_pylist(), b.column(3).to_pylist()):
-            spans = _merged([(x["start"], x["end"]) for x in [*(own or ()), *(cuts or ())]])
+            spans = _in_text(raw, _merged([(x["start"], x["end"]) for x in [*(own or ()), *(cuts or ())]]), unit, least)
             left, at = [], 0
             for s, e in spans:
                 left.append(raw[at:s])
@@ -312,7 +337,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, k: int | None = None, blo
         return out
 
     changed = near.where("copies = 1").select("tid", "text", "spans").join(cut, "tid", "left").where("spans is not null or cuts is not null")
-    changed = arrow_map(changed, remove, "tid binary, n_removed long, n_spans long, kept_sha256 string, kept_text string", rows=2000)
+    changed = arrow_map(changed, remove, "tid binary, n_removed long, n_spans long, kept_sha256 string, kept_text string", rows=500)
     copied = texts.where("copies > 1").select("tid", F.lit(True).alias("copied"))
     result = changed.join(copied, "tid", "full")
     if keep_text:

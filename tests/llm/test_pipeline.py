@@ -19,6 +19,7 @@ def _write(spark, folder):
     vocab = ["the", "stone", "river", "walks", "under", "green", "light", "slowly", "again", "north", *(f"w{i}" for i in range(200))]
     item = " ".join(f"q{rng.randrange(90)}" for _ in range(14))
     passage, texts, labels = " ".join(rng.choice(vocab) for _ in range(90)), [None, "", "a", "   \n"], []
+    short = [[rng.choice(vocab) for _ in range(n)] for n in (50, 51, 52, 58, 70)]
     for i in range(300):
         w = [rng.choice(vocab) for _ in range(rng.randint(25, 60))]
         if i % 3 == 0:
@@ -28,6 +29,9 @@ def _write(spark, folder):
             w += passage.split()
         if i % 25 == 2:
             w += item.split()
+        if i % 8 == 4:  # fewer bytes than op9's 400, in another case and with other spaces
+            own = short[i // 8 % 5]
+            w = w[:25] + ([x.upper() for x in own] if i % 16 == 4 else [" \n".join(own)]) + w[25:]
         if i % 10 == 7:
             w = (texts[-1] or "a").split()
         if i % 20 == 17:
@@ -59,15 +63,20 @@ def _one_of_each_group(texts):
     return {d: t for d, t in texts.items() if find(d) == d}
 
 
-def _without_repeats(texts, n=400):
-    raws, out = {d: (t or "").encode() for d, t in texts.items()}, {}
-    count = Counter(r[i : i + n] for r in raws.values() for i in range(len(r) - n + 1))
-    for d, r in raws.items():
-        on = np.zeros(len(r), bool)
-        for i in range(len(r) - n + 1):
-            if count[r[i : i + n]] > 1:
+def _without_repeats(texts, n=51):
+    words, out = {d: [m.span() for m in re.finditer(rb"[^\x20\x09-\x0d]+", (t or "").encode())] for d, t in texts.items()}, {}
+    lower = {d: [(texts[d] or "").encode()[s:e].lower() for s, e in w] for d, w in words.items()}
+    count = Counter(tuple(w[i : i + n]) for w in lower.values() for i in range(len(w) - n + 1))
+    for d, w in lower.items():
+        on = np.zeros(len(w) + 1, bool)
+        for i in range(len(w) - n + 1):
+            if count[tuple(w[i : i + n])] > 1:
                 on[i : i + n] = True
-        out[d] = bytes(np.frombuffer(r, np.uint8)[~on]).decode()
+        raw, left, at = (texts[d] or "").encode(), b"", 0
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], on.astype(int)))))
+        for s, e in zip(edge[::2].tolist(), edge[1::2].tolist()):
+            left, at = left + raw[at : words[d][s][0]], words[d][e - 1][1]
+        out[d] = (left + raw[at:]).decode()
     return out
 
 
