@@ -9,6 +9,7 @@ code of x + i, middle first, each in a minimal binary code centred in its range.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,115 +33,115 @@ def _steps(n: int):
             todo += [(mid + 1, hi, mid, above), (lo, mid, below, mid)]
 
 
-def _ranges(ids: list[int], u: int):
-    """(value - low, number of values possible) of each step of the interpolative code."""
-    y, n = [x + i for i, x in enumerate(ids)], len(ids)
-    for mid, below, above in _steps(n):
-        low = (y[below] if below >= 0 else -1) + mid - below
-        high = (y[above] if above < n else u + n - 1) - (above - mid)
-        yield y[mid] - low, high - low + 1
+def bit_lengths(x: np.ndarray) -> np.ndarray:
+    """Bits of each of an array of integers under 2**53; 0 for 0."""
+    return np.frexp(np.asarray(x, float))[1].astype(np.int64)
 
 
-def _minimal(v: int, r: int) -> tuple[int, int]:
-    """(code, bits) of v below r; the values in the middle get the short codes."""
-    b = max(1, (r - 1).bit_length())
-    c, short = r - (1 << (b - 1)), (1 << b) - r
-    t = (v - c) % r
-    return (t, b - 1) if t < short else (t + short, b)
-
-
-class Bits:
-    """Bits of an integer, least significant first."""
-
-    def __init__(self, data: bytes = b""):
-        self.x, self.n, self.at = int.from_bytes(data, "little"), 0, 0
-
-    def put(self, v: int, bits: int) -> None:
-        self.x |= v << self.n
-        self.n += bits
+def _coded(ids: np.ndarray, u: int, codec: str) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, bits) in the order of writing, of rows of one degree; steps are columns."""
+    n, d = ids.shape
+    if codec == "rowpack":
+        gaps = np.diff(ids, axis=1)
+        width = bit_lengths(gaps.max(1, initial=0))[:, None]
+        head, sizes = [ids[:, :1], width], [np.full((n, 1), max(0, (u - 1).bit_length())), np.full((n, 1), 6)]
+        return (np.hstack([*head, gaps]), np.hstack([*sizes, np.broadcast_to(width, gaps.shape)])) if d > 1 else (head[0], sizes[0])
+    if codec == "rowbic":
+        y, codes, sizes = ids + np.arange(d), [], []
+        for mid, below, above in _steps(d):
+            low = (y[:, below] if below >= 0 else -1) + mid - below
+            r = np.broadcast_to((y[:, above] if above < d else u + d - 1) - (above - mid) - low + 1, n)
+            b = np.maximum(1, bit_lengths(r - 1))
+            c, short = r - (1 << (b - 1)), (1 << b) - r
+            t = (y[:, mid] - low - c) % r
+            full = t >= short
+            t = np.where(full, t + short, t)  # of a full code the last bit is written last
+            codes.append(np.where(full, (t >> 1) | ((t & 1) << (b - 1)), t))
+            sizes.append(np.where(full, b, b - 1))
+        return np.stack(codes, 1), np.stack(sizes, 1)
+    return ids, np.full(ids.shape, 32)
 
-    def get(self, bits: int) -> int:
-        v = (self.x >> self.at) & ((1 << bits) - 1)
-        self.at += bits
-        return v
 
-    def data(self) -> bytes:
-        return self.x.to_bytes(-(-self.n // 8), "little")
+def _rowef_low(u: int, d: int) -> int:
+    return max(0, (u // d).bit_length() - 1)
 
 
-def check_row(ids: list[int], u: int) -> None:
-    if len(ids) > 255:
-        raise ValueError(f"degree {len(ids)} is over 255")
-    if any(b < a for a, b in zip(ids, ids[1:])):
+def encode_rows(ids: np.ndarray, u: int, codec: str) -> tuple[list[bytes], np.ndarray]:
+    """(data, bits) of rows of one degree at once, least significant bit first."""
+    n, d = ids.shape
+    if d > 255:
+        raise ValueError(f"degree {d} is over 255")
+    if (np.diff(ids, axis=1) < 0).any():
         raise ValueError("unsorted row")
-    if ids and not 0 <= ids[0] <= ids[-1] < u:
+    if d and (ids.min(initial=0) < 0 or ids.max(initial=0) >= u):
         raise ValueError("id out of range")
+    if not n or not d:
+        return [b""] * n, np.zeros(n, np.int64)
+    low = _rowef_low(u, d) if codec == "rowef" else 0
+    codes, sizes = (ids & ((1 << low) - 1), np.full(ids.shape, low)) if codec == "rowef" else _coded(ids, u, codec)
+    ends = np.cumsum(sizes, axis=1)
+    total = ends[:, -1] + ((ids[:, -1] >> low) + d if codec == "rowef" else 0)
+    out = np.zeros((n, 8 * -(-int(total.max()) // 8)), np.uint8)
+    row = np.arange(n)[:, None]
+    for k in range(int(sizes.max(initial=0))):
+        on = (sizes > k) & ((codes >> k) & 1 == 1)
+        out[np.broadcast_to(row, on.shape)[on], (ends - sizes + k)[on]] = 1
+    if codec == "rowef":
+        out[row, d * low + (ids >> low) + np.arange(d)] = 1
+    packed = np.packbits(out, axis=1, bitorder="little")
+    return [packed[i, : -(-int(t) // 8)].tobytes() for i, t in enumerate(total.tolist())], total
+
+
+def decode_rows(data: list[bytes], d: int, u: int, codec: str) -> np.ndarray:
+    """encode_rows() back: a matrix of a row for each of data, all of degree d."""
+    n = len(data)
+    if not d or not n:
+        return np.empty((n, d), np.int64)
+    wide = max(map(len, data)) + 8
+    bits = np.unpackbits(np.frombuffer(b"".join(x.ljust(wide, b"\0") for x in data), np.uint8).reshape(n, wide), axis=1, bitorder="little")
+
+    def field(at, size, most: int) -> np.ndarray:
+        """Numbers of `size` bits at `at`, most bits at most; both can differ by row (and column)."""
+        k = np.arange(most)
+        at, size = np.broadcast_arrays(np.asarray(at), np.asarray(size))
+        place = np.minimum(at[..., None] + k, bits.shape[1] - 1)
+        got = np.take_along_axis(bits, place.reshape(n, -1), 1).reshape(place.shape).astype(np.int64)
+        return ((got * (k < size[..., None])) << k).sum(-1)
 
-
-def encode_row(ids: list[int], u: int, codec: str) -> tuple[bytes, int]:
-    """(data, bits) of one row."""
-    check_row(ids, u)
-    w = Bits()
-    if codec == "rowef" and ids:
-        low = max(0, (u // len(ids)).bit_length() - 1)
-        for x in ids:
-            w.put(x & ((1 << low) - 1), low)
-        before = 0
-        for x in ids:
-            w.put(1 << ((x >> low) - before), (x >> low) - before + 1)
-            before = x >> low
-    elif codec == "rowpack" and ids:
-        w.put(ids[0], max(0, (u - 1).bit_length()))
-        if len(ids) > 1:
-            gaps = [b - a for a, b in zip(ids, ids[1:])]
-            width = max(gaps).bit_length()
-            w.put(width, 6)
-            for g in gaps:
-                w.put(g, width)
-    elif codec == "rowbic":
-        for v, r in _ranges(ids, u):
-            w.put(*_rotated(*_minimal(v, r), r))
-    elif codec in ("raw", "packed"):
-        for x in ids:
-            w.put(x, 32)
-    return w.data(), w.n
-
-
-def _rotated(code: int, bits: int, r: int) -> tuple[int, int]:
-    """The first b - 1 bits of a code come first, so that a reader knows from them whether one more follows."""
-    b = max(1, (r - 1).bit_length())
-    return (code, bits) if bits < b else ((code >> 1) | ((code & 1) << (b - 1)), bits)
-
-
-def decode_row(data: bytes, n: int, u: int, codec: str) -> list[int]:
-    w = Bits(data)
-    if codec == "rowef" and n:
-        low = max(0, (u // n).bit_length() - 1)
-        lows, out, high = [w.get(low) for _ in range(n)], [], 0
-        for x in lows:
-            while not w.get(1):
-                high += 1
-            out.append((high << low) | x)
-        return out
-    if codec == "rowpack" and n:
-        out = [w.get(max(0, (u - 1).bit_length()))]
-        width = w.get(6) if n > 1 else 0
-        for _ in range(n - 1):
-            out.append(out[-1] + w.get(width))
-        return out
+    if codec == "rowef":
+        low = _rowef_low(u, d)
+        lows = field(np.broadcast_to(np.arange(d) * low, (n, d)), low, low) if low else np.zeros((n, d), np.int64)
+        high = np.nonzero(bits[:, d * low :])[1].reshape(n, d) - np.arange(d)
+        return (high << low) | lows
+    if codec == "rowpack":
+        first = max(0, (u - 1).bit_length())
+        out = np.zeros((n, d), np.int64)
+        out[:, 0] = field(np.zeros(n, np.int64), first, first) if first else 0
+        if d > 1:
+            width = field(np.full(n, first), 6, 6)
+            out[:, 1:] = field(first + 6 + np.arange(d - 1) * width[:, None], width[:, None], int(width.max(initial=0)))
+        return np.cumsum(out, axis=1)
     if codec == "rowbic":
-        y = [0] * n
-        for mid, below, above in _steps(n):
-            low = (y[below] if below >= 0 else -1) + mid - below
-            r = (y[above] if above < n else u + n - 1) - (above - mid) - low + 1
-            b = max(1, (r - 1).bit_length())
+        y, at = np.zeros((n, d), np.int64), np.zeros(n, np.int64)
+        for mid, below, above in _steps(d):
+            low = (y[:, below] if below >= 0 else -1) + mid - below
+            r = (y[:, above] if above < d else u + d - 1) - (above - mid) - low + 1
+            b = np.maximum(1, bit_lengths(np.broadcast_to(r, n) - 1))
             c, short = r - (1 << (b - 1)), (1 << b) - r
-            t = w.get(b - 1)
-            if t >= short:
-                t = ((t << 1) | w.get(1)) - short
-            y[mid] = low + (t + c) % r
-        return [x - i for i, x in enumerate(y)]
-    return [w.get(32) for _ in range(n)]
+            t = field(at, b - 1, int(b.max()))
+            full = t >= short
+            t = np.where(full, 2 * t + field(at + b - 1, 1, 1) - short, t)
+            at += np.where(full, b, b - 1)
+            y[:, mid] = low + (t + c) % r
+        return y - np.arange(d)
+    return field(np.broadcast_to(np.arange(d) * 32, (n, d)), 32, 32)
+
+
+def _by_degree(degrees: np.ndarray):
+    """(degree, places) of each degree there is."""
+    order = np.argsort(degrees, kind="stable")
+    cuts = np.flatnonzero(np.diff(degrees[order])) + 1
+    return [(int(degrees[p[0]]), p) for p in np.split(order, cuts) if len(p)]
 
 
 def _rows(edges: DataFrame) -> DataFrame:
@@ -148,23 +149,35 @@ def _rows(edges: DataFrame) -> DataFrame:
 
 
 def encode(edges: DataFrame, universe: int, codec: str) -> DataFrame:
-    """(src, deg, data, bits) of every row that has edges."""
+    """(src, deg, data, bits) of every row that has edges; rows of one degree are coded at once."""
 
     @F.pandas_udf("data binary, bits long")
     def run(ids: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([encode_row([int(x) for x in row], universe, codec) for row in ids], columns=["data", "bits"])
+        data, bits = np.empty(len(ids), object), np.zeros(len(ids), np.int64)
+        for _, at in _by_degree(ids.map(len).to_numpy()) if len(ids) else ():
+            data[at], bits[at] = encode_rows(np.stack(ids.iloc[at].to_numpy()).astype(np.int64), universe, codec)
+        return pd.DataFrame({"data": data, "bits": bits})
 
     return _rows(edges).withColumn("x", run("ids")).select("src", F.size("ids").alias("deg"), "x.data", "x.bits")
 
 
-def decode(encoded: DataFrame, universe: int, codec: str) -> DataFrame:
-    """Edges (src, pos, dst) of encode()'s rows."""
+def decoded(data, deg, universe: int, codec: str):
+    """A column of the ids of encode()'s rows."""
 
     @F.pandas_udf("array<long>")
     def run(data: pd.Series, deg: pd.Series) -> pd.Series:
-        return pd.Series([decode_row(bytes(d), int(n), universe, codec) for d, n in zip(data, deg)])
+        out = np.empty(len(data), object)
+        for d, at in _by_degree(deg.to_numpy()) if len(data) else ():
+            for i, row in zip(at.tolist(), decode_rows([bytes(x) for x in data.iloc[at]], d, universe, codec)):
+                out[i] = row
+        return pd.Series(out)
+
+    return run(data, deg)
 
-    return encoded.select("src", F.posexplode(run("data", "deg")).alias("pos", "dst")).withColumn("pos", F.col("pos").cast("long"))
+
+def decode(encoded: DataFrame, universe: int, codec: str) -> DataFrame:
+    """Edges (src, pos, dst) of encode()'s rows."""
+    return encoded.select("src", F.posexplode(decoded("data", "deg", universe, codec)).alias("pos", "dst")).withColumn("pos", F.col("pos").cast("long"))
 
 
 def roundtrip_mismatches(edges: DataFrame, universe: int, codec: str) -> DataFrame:
@@ -178,7 +191,10 @@ def payload_bits(edges: DataFrame, universe: int, codec: str) -> DataFrame:
     if codec == "rowbic":
         @F.pandas_udf(LongType())
         def run(ids: pd.Series) -> pd.Series:
-            return pd.Series([sum(_minimal(v, r)[1] for v, r in _ranges([int(x) for x in row], universe)) for row in ids], dtype="int64")
+            bits = np.zeros(len(ids), np.int64)
+            for _, at in _by_degree(ids.map(len).to_numpy()) if len(ids) else ():
+                bits[at] = _coded(np.stack(ids.iloc[at].to_numpy()).astype(np.int64), universe, codec)[1].sum(1)
+            return pd.Series(bits)
 
         return _rows(edges).select("src", F.size("ids").cast("long").alias("deg"), run("ids").alias("bits"))
     row = edges.groupBy("src").agg(F.count("*").alias("deg"), F.max("dst").alias("top"))
@@ -208,6 +224,16 @@ def store_size(edges: DataFrame, n: int, codec: str, universe: int | None = None
     return s.select(F.lit(codec).alias("codec"), F.lit(n).cast("long").alias("nodes"), "edges", "payload_bits", "total_bytes", F.when(F.col("edges") > 0, 8 * F.col("total_bytes") / F.col("edges")).otherwise(0.0).alias("bits_per_edge"))
 
 
+def payload_limits(edges: DataFrame, universe: int, limit_bits: int = 1 << 32) -> DataFrame:
+    """(codec, payload_bits, refused): a row's place is a 32-bit number of bits, so larger payloads are refused."""
+    out = None
+    for codec in ("rowef", "rowbic", "rowpack"):
+        row = payload_bits(edges, universe, codec).agg(F.coalesce(F.sum("bits"), F.lit(0)).alias("payload_bits"))
+        row = row.select(F.lit(codec).alias("codec"), "payload_bits", (F.col("payload_bits") >= limit_bits).alias("refused"))
+        out = row if out is None else out.union(row)
+    return out
+
+
 def two_tier_size(edges: DataFrame, hot: DataFrame, n: int, slot_map: bool = False) -> DataFrame:
     """(hot_nodes, hot_edges, cold_bits, total_bytes): hot rows (id) raw, the others rowef over the whole graph's ids."""
     marked = edges.join(hot.select(F.col("id").alias("src"), F.lit(1).alias("h")), "src", "left")

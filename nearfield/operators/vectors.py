@@ -13,54 +13,66 @@ from ..plans import cut, numbered
 BLOCK_VALUES = 4_000_000
 
 
-def holdout(embeddings: DataFrame, id_col: str = "vec_id", v_col: str = "embedding", modulus: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(base, queries): ids divisible by modulus are queries (q, v), the rest is base (id, v) numbered densely in id order."""
+def with_queries(embeddings: DataFrame, id_col: str = "vec_id", v_col: str = "embedding", modulus: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(base, queries): all rows (id, v, vec_id), numbered densely in the order of vec_id (null ids last), and of them those whose vec_id is divisible by modulus as queries (q, v)."""
     rows = embeddings.select(F.col(id_col).alias("vec_id"), F.col(v_col).cast("array<double>").alias("v"))
-    base = numbered(rows.where(F.col("vec_id") % modulus != 0), "vec_id", name="id").select("id", "v", "vec_id")
+    base = numbered(rows, F.col("vec_id").asc_nulls_last(), name="id").select("id", "v", "vec_id")
     return base, rows.where(F.col("vec_id") % modulus == 0).select(F.col("vec_id").alias("q"), "v")
 
 
-def _blocks(queries: DataFrame, id_col: str):
-    """The queries in blocks of a bounded size: (ids, matrix) each."""
-    ids, rows = [], []
-    for r in queries.select(id_col, "v").toLocalIterator():
-        ids.append(r[0])
-        rows.append(r[1])
-        if len(rows) * len(rows[0]) >= BLOCK_VALUES:
-            yield np.array(ids), np.array(rows)
-            ids, rows = [], []
-    if rows:
-        yield np.array(ids), np.array(rows)
+def _nearest(ids: np.ndarray, q: np.ndarray, own: np.ndarray, v: np.ndarray, k: int, metric: str, loops: bool, some: int = 64) -> pd.DataFrame:
+    """(q, id, d): of rows (own, v), the k nearest to each of (ids, q) by (distance, id)."""
+    out = []
+    for s in range(0, len(ids), some):
+        x = q[s : s + some]
+        d = -(x @ v.T) if metric == "ip" else np.stack([((v - y) ** 2).sum(1) for y in x])
+        if not loops:
+            d[ids[s : s + some, None] == own[None]] = np.inf
+        order = np.lexsort((np.broadcast_to(own, d.shape), d), axis=1)[:, :k]
+        out.append(pd.DataFrame({"q": np.repeat(ids[s : s + some], order.shape[1]), "id": own[order].ravel(), "d": np.take_along_axis(d, order, 1).ravel()}))
+    return pd.concat(out).query("d < inf") if out else pd.DataFrame({"q": [], "id": [], "d": []}).astype({"q": "int64", "id": "int64"})
 
 
-def knn_exact(base: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2", loops: bool = True) -> DataFrame:
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(float)
+
+
+def knn_exact(base: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2", loops: bool = True, block_values: int = BLOCK_VALUES) -> DataFrame:
     """(q, rank, id): the k nearest of base (id, v) to each of queries (q, v), rank from 1, ties to the smaller id.
 
-    Base stays where it is: each task finds the k best of its rows for a block
-    of queries, and only those meet. metric: 'ip' (most inner product) or else
-    squared L2, in doubles. loops: whether a vector may be its own neighbour.
+    Queries of up to block_values numbers go to every task (their size is
+    counted first) and base stays where it is. More of them are dealt into
+    blocks, base too, and every pair of blocks is a task of its own: nothing
+    passes through the driver. Only the k best of a task meet. metric: 'ip'
+    (most inner product) or else squared L2, in doubles. loops: whether a
+    vector may be its own neighbour.
     """
-    sc, found = base.sparkSession.sparkContext, None
-    for ids, matrix in _blocks(queries, "q"):
-        sent = sc.broadcast((ids, matrix))
-
-        def near(frames, sent=sent):
-            ids, matrix = sent.value
+    base, queries = base.select(F.col("id").cast("long").alias("id"), "v"), queries.select(F.col("q").cast("long").alias("q"), "v")
+    width = queries.agg(F.sum(F.size("v").cast("long"))).first()[0] or 0
+    schema = "q long, id long, d double"
+    if width <= block_values:
+        got = queries.toArrow().combine_chunks()
+        sent = base.sparkSession.sparkContext.broadcast((got.column("q").to_numpy(), np.array(got.column("v").combine_chunks().flatten().to_numpy(), float).reshape(len(got), -1) if len(got) else np.empty((0, 1))))
+
+        def near(frames):
             for frame in frames:
-                own, v = frame["id"].to_numpy(), np.stack(frame["v"].to_numpy())
-                for s in range(0, len(ids), 64):
-                    q = matrix[s : s + 64]
-                    d = -(q @ v.T) if metric == "ip" else np.stack([((v - x) ** 2).sum(1) for x in q])
-                    if not loops:
-                        d[ids[s : s + 64, None] == own[None]] = np.inf
-                    order = np.lexsort((np.broadcast_to(own, d.shape), d), axis=1)[:, :k]
-                    out = pd.DataFrame({"q": np.repeat(ids[s : s + 64], order.shape[1]), "id": own[order].ravel(), "d": np.take_along_axis(d, order, 1).ravel()})
-                    yield out[np.isfinite(out["d"])]
-
-        part = base.select("id", "v").mapInPandas(near, "q long, id long, d double")
-        found = part if found is None else found.union(part)
-    if found is None:
-        return base.sparkSession.createDataFrame([], "q long, rank int, id long")
+                if len(frame):
+                    yield _nearest(*sent.value, frame["id"].to_numpy(), _matrix(frame["v"]), k, metric, loops)
+
+        found = base.mapInPandas(near, schema)
+    else:
+        many = base.agg(F.sum(F.size("v").cast("long"))).first()[0] or 0
+        x, y = -(-width // block_values), max(1, -(-many // block_values))
+
+        def deal(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
+            return df.withColumn(own, F.pmod(F.xxhash64(df.columns[0]), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+
+        def pair(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            if not len(q) or not len(b):
+                return pd.DataFrame({"q": [], "id": [], "d": []}).astype({"q": "int64", "id": "int64", "d": "float64"})
+            return _nearest(q["q"].to_numpy(), _matrix(q["v"]), b["id"].to_numpy(), _matrix(b["v"]), k, metric, loops)
+
+        found = deal(queries, "x", x, "y", y).groupBy("x", "y").cogroup(deal(base, "y", y, "x", x).groupBy("x", "y")).applyInPandas(pair, schema)
     rank = F.row_number().over(Window.partitionBy("q").orderBy("d", "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("q", "rank", "id")
 
@@ -104,12 +116,96 @@ def medoid(base: DataFrame) -> int:
 
 def sample_queries(base: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """n base vectors (q, v), without replacement and the same every time."""
-    return base.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n).select(F.col("id").alias("q"), "v")
+    return base.orderBy(F.md5(F.concat_ws("-", F.col("id").cast("string"), F.lit(str(seed)))), "id").limit(n).select(F.col("id").alias("q"), "v")
+
+
+def _ascending(edges: DataFrame) -> DataFrame:
+    """(src, pos, dst) of distinct (src, dst), rows ascending."""
+    own = edges.select("src", "dst").distinct()
+    return own.select("src", (F.row_number().over(Window.partitionBy("src").orderBy("dst")) - 1).cast("long").alias("pos"), "dst")
+
+
+def vamana(base: DataFrame, degree: int = 32, size: int = 64, alpha: float = 1.2, seed: int = 128, entry: int | None = None) -> DataFrame:
+    """(src, pos, dst) of a graph built by searching it: RobustPrune over what a beam search for each node expands.
+
+    The first `seed` nodes, in the order of a hash, are pruned from their
+    exact neighbours among themselves (a bound that no input widens). Then every
+    round adds as many nodes as there are: all are searched at once with a pool
+    of `size`, pruned over what they expanded, linked back, and rows over
+    `degree` are pruned again. Rounds grow with the logarithm of the input; a
+    second pass over all nodes lets the early ones see the late ones.
+    """
+    from .search import beam_search
+
+    n = base.count()
+    entry = medoid(base) if entry is None else entry
+    order = cut(numbered(base.select("id", "v"), F.col("id") != entry, F.xxhash64("id"), "id", name="turn"))
+    # nodes of a round are numbered by their turn, as searches want 0 to n - 1
+    by_turn = order.select(F.col("turn").alias("id"), "v")
+    first = by_turn.where(F.col("id") < seed)
+    edges = cut(robust_prune(first, knn_graph(first, size), degree, alpha))
+    done = min(seed, n)
+
+    def linked(edges: DataFrame, new: DataFrame, known: DataFrame) -> DataFrame:
+        """edges with the rows of new in place of theirs and their reverse, pruned where a row is too long."""
+        kept = edges.join(new.select("src").distinct(), "src", "left_anti").select("src", "dst")
+        rows = kept.union(new.select("src", "dst")).union(new.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+        long = rows.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") > degree).select("src")
+        pruned = robust_prune(known, rows.join(long, "src", "left_semi"), degree, alpha).select("src", "dst")
+        return cut(_ascending(rows.join(long, "src", "left_anti").union(pruned)))
+
+    def searched(known: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+        """Candidates (src, dst): what a search for each node expands, and the neighbours that it has."""
+        seen = beam_search(known, edges, nodes.select(F.col("id").alias("q"), "v"), size, size, 0, trace=True).where("expand = 1")
+        return seen.select(F.col("q").alias("src"), F.col("id").alias("dst")).union(edges.select("src", "dst").join(nodes.select(F.col("id").alias("src")), "src", "left_semi"))
+
+    while done < n:
+        upto = min(n, 2 * done)
+        fresh, known = by_turn.where((F.col("id") >= done) & (F.col("id") < upto)), by_turn.where(F.col("id") < upto)
+        found = cut(searched(by_turn.where(F.col("id") < done), edges, fresh))
+        edges, done = linked(edges, cut(robust_prune(known, found, degree, alpha)), known), upto
+    again = cut(searched(by_turn, edges, by_turn))
+    edges = linked(edges, cut(robust_prune(by_turn, again, degree, alpha)), by_turn)
+    turn = order.select("turn", "id")
+    named = edges.join(turn.select(F.col("turn").alias("src"), F.col("id").alias("s")), "src").join(turn.select(F.col("turn").alias("dst"), F.col("id").alias("d")), "dst")
+    return _ascending(named.select(F.col("s").alias("src"), F.col("d").alias("dst")))
+
+
+def nsg(base: DataFrame, degree: int = 32, candidates: int = 64, entry: int | None = None, metric: str = "l2") -> DataFrame:
+    """(src, pos, dst): exact neighbours pruned by the relative-neighbour rule (alpha 1), and a way from the entry to every node.
+
+    A node that no row leads to from the entry is added to the row of its
+    nearest reached node, over `degree` if need be.
+    """
+    from .graph import bfs_levels
+
+    n, entry = base.count(), medoid(base) if entry is None else entry
+    edges = cut(robust_prune(base, knn_graph(base, candidates, metric), degree, 1.0).select("src", "dst"))
+    level = cut(bfs_levels(edges, entry, n))
+    part = lambda on: base.join(level.where(on).select("id"), "id")
+    near = knn_exact(part(F.col("level") < n).select("id", "v"), part(F.col("level") == n).select(F.col("id").alias("q"), "v"), 1, metric)
+    return _ascending(edges.union(near.select(F.col("id").alias("src"), F.col("q").alias("dst"))))
+
+
+def hnsw(base: DataFrame, m: int = 16, candidates: int = 64, metric: str = "l2", most: int = 8) -> DataFrame:
+    """(level, src, pos, dst): layers of falling chance 1 / m, the base layer (level 0) of degree 2 m at most, others of m.
+
+    A node's top layer comes from a hash of its id, so it is the same every
+    time; rows are exact neighbours within the layer under the alpha 1 rule.
+    """
+    chance = (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) + 1) / F.lit(float(1 << 30))
+    tops = cut(base.withColumn("top", F.least(F.lit(most), F.floor(-F.log(chance) / F.lit(float(np.log(m))))).cast("int")))
+    out = None
+    for level in range((tops.agg(F.max("top")).first()[0] or 0) + 1):
+        own = tops.where(F.col("top") >= level).select("id", "v")
+        rows = robust_prune(own, knn_graph(own, candidates, metric), 2 * m if level == 0 else m, 1.0).select(F.lit(level).alias("level"), "src", "pos", "dst")
+        out = rows if out is None else out.union(rows)
+    return out
 
 
-def hnsw_layers_graph(base: DataFrame, m: int = 16, candidates: int = 64) -> DataFrame:
-    """A base layer of degree 2m at most: exact neighbours under the alpha = 1 heuristic (an approximate equivalent of HNSW and NSG builders)."""
-    return robust_prune(base, knn_graph(base, candidates), 2 * m, 1.0)
+def base_layer(layers: DataFrame) -> DataFrame:
+    """Edges (src, pos, dst) of the lowest layer."""
+    return layers.where("level = 0").select("src", "pos", "dst")
 
 
-__all__ = ["cut", "holdout", "hnsw_layers_graph", "knn_exact", "knn_graph", "medoid", "robust_prune", "sample_queries"]
+__all__ = ["base_layer", "cut", "hnsw", "knn_exact", "knn_graph", "medoid", "nsg", "robust_prune", "sample_queries", "vamana", "with_queries"]

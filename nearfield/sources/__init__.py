@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import struct
+from xml.sax.saxutils import escape
 
 import numpy as np
 import pandas as pd
@@ -99,11 +101,104 @@ def read_hierarchy(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return layers, edges, doc.select("entry")
 
 
-def write_csr(edges: DataFrame, path: str, meta: dict, sort: bool = True) -> None:
-    """Adjacency rows (ascending unless sort is false) and a one-row JSON of the graph's facts."""
-    order = F.array_sort(F.collect_list("dst")) if sort else F.transform(F.array_sort(F.collect_list(F.struct("pos", "dst"))), lambda x: x.dst)
-    edges.groupBy("src").agg(order.alias("nbrs")).write.parquet(f"{path}/adjacency")
-    edges.sparkSession.createDataFrame([(json.dumps(meta | {"sorted": sort}),)], "value string").coalesce(1).write.text(f"{path}/meta")
+def _put(spark: SparkSession, path: str, parts) -> None:
+    """Bytes to one file of any store that Spark writes to, a part at a time."""
+    jvm, at = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        for part in parts:
+            out.write(bytearray(part))
+    finally:
+        out.close()
+
+
+def _in_order(df: DataFrame, order: list[str], cols: list[str], some: int = 1 << 16):
+    """Rows in order, in bounded lists: one partition at a time comes to the driver, as the formats below are one file each."""
+    held = []
+    for r in df.repartitionByRange(*order).sortWithinPartitions(*order).select(*cols).toLocalIterator():
+        held.append(r)
+        if len(held) >= some:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def write_matrix(df: DataFrame, path: str, kind: str = "<f4") -> None:
+    """A file that read_matrix reads, of rows (id, v) in the order of id; all rows must have one length."""
+    n, low, high = df.agg(F.count("*"), F.min(F.size("v")), F.max(F.size("v"))).first()
+    if low != high:
+        raise ValueError(f"rows of {low} to {high} values")
+    rows = (np.array([r.v for r in some], kind).tobytes() for some in _in_order(df, ["id"], ["v"], 1 << 12))
+    _put(df.sparkSession, path, itertools.chain([struct.pack("<II", n, high or 0)], rows))
+
+
+def write_raw(df: DataFrame, path: str, kind: str = "<u4") -> None:
+    """A headerless array file of rows (pos, value) in the order of pos."""
+    _put(df.sparkSession, path, (np.array([r.value for r in some], kind).tobytes() for some in _in_order(df, ["pos"], ["value"])))
+
+
+def write_csr(edges: DataFrame, prefix: str, n: int, meta: dict, sort: bool = True) -> None:
+    """prefix_offsets.bin, prefix_neighbors.bin and prefix_meta.json that read_csr restores, nodes without edges too; rows ascend unless sort is false."""
+    from ..operators.graph import csr_offsets
+
+    _put(edges.sparkSession, f"{prefix}_offsets.bin", (np.array([r.off for r in some], "<u8").tobytes() for some in _in_order(csr_offsets(edges, n), ["id"], ["off"])))
+    _put(edges.sparkSession, f"{prefix}_neighbors.bin", (np.array([r.dst for r in some], "<u4").tobytes() for some in _in_order(edges, ["src", "dst" if sort else "pos"], ["dst"])))
+    most = edges.groupBy("src").count().agg(F.max("count")).first()[0] or 0
+    write_json({**meta, "num_points": n, "nnz": edges.count(), "max_degree": most, "sorted": sort}, f"{prefix}_meta.json", edges.sparkSession)
+
+
+def write_json(doc: dict, path: str, spark: SparkSession) -> None:
+    """One JSON document: metadata, or a run's record."""
+    _put(spark, path, [json.dumps(doc).encode()])
+
+
+def write_run(runs: DataFrame, path: str, header: dict) -> None:
+    """A run's record, as read_results reads it: header and runs[], one for each pool size."""
+    write_json({**header, "runs": [r.asDict() for r in runs.orderBy("L").collect()]}, path, runs.sparkSession)
+
+
+def write_hierarchy(layers: DataFrame, layer_edges: DataFrame, entry: int, policy: str, path: str) -> None:
+    """The JSON that read_hierarchy reads: layers (level, id), edges between ids (level, src, dst), the entry's id; local ids ascend with ids.
+
+    A hierarchy is a few hundredths of its graph and one document; it passes the driver a level at a time.
+    """
+    docs = []
+    for level in sorted(r.level for r in layers.select("level").distinct().collect()):
+        nodes = np.sort(layers.where(F.col("level") == level).select(F.col("id").cast("long")).toArrow().column(0).to_numpy())
+        got = layer_edges.where(F.col("level") == level).select("src", "dst").toArrow().sort_by([("src", "ascending"), ("dst", "ascending")])
+        src, dst = (np.searchsorted(nodes, got.column(c).to_numpy()) for c in ("src", "dst"))
+        offsets = np.concatenate(([0], np.cumsum(np.bincount(src, minlength=len(nodes)))))
+        docs.append({"n": len(nodes), "nodes": nodes.tolist(), "offsets": offsets.tolist(), "neighbors": dst.tolist(), "edges": len(dst)})
+    first = docs[0]["nodes"].index(entry) if docs else 0
+    write_json({"policy": policy, "levels": docs, "entry": first}, path, layers.sparkSession)
+
+
+def write_labeling(edges: DataFrame, perm: DataFrame, hot: DataFrame, prefix: str, n: int, meta: dict) -> None:
+    """What a hot-first labelling leaves: relabelled CSR, prefix_perm.bin (old id of each new one), prefix_hot.u32 (old ids) and the metadata."""
+    from ..operators.graph import relabel
+
+    write_csr(relabel(edges, perm), prefix, n, {**meta, "hot_count": hot.count()})
+    write_raw(perm.select(F.col("new_id").alias("pos"), F.col("old_id").alias("value")), f"{prefix}_perm.bin")
+    write_raw(hot.select(F.col("id").alias("pos"), F.col("id").alias("value")), f"{prefix}_hot.u32")
+
+
+def write_profile(profile: DataFrame, prefix: str) -> None:
+    """prefix_expand.u32 and prefix_touch.u32 of (id, expand, touch)."""
+    for column in ("expand", "touch"):
+        write_raw(profile.select(F.col("id").alias("pos"), F.col(column).alias("value")), f"{prefix}_{column}.u32")
+
+
+def write_encoded(encoded: DataFrame, path: str, header: dict) -> None:
+    """Rows of codecs.encode, (src, deg, data, bits), as Parquet beside a header of the codec, universe and sizes; see read_encoded."""
+    encoded.write.parquet(f"{path}/rows")
+    write_json(header, f"{path}/header.json", encoded.sparkSession)
+
+
+def read_encoded(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """(rows, header) of write_encoded."""
+    head = spark.read.json(f"{path}/header.json").first().asDict()
+    return spark.read.parquet(f"{path}/rows"), head
 
 
 def write_table(df: DataFrame, path: str, *by: str) -> None:
@@ -117,10 +212,20 @@ def markdown(df: DataFrame, rows: int = 200) -> str:
     return "\n".join(f"| {' | '.join(map(str, c))} |" for c in cells)
 
 
-def svg_lines(series: dict[str, list[tuple[float, float]]], title: str, width: int = 640, height: int = 400) -> str:
-    """A line chart of named (x, y) series."""
+def svg_lines(series: dict[str, list[tuple[float, float]]], title: str, x_name: str = "", y_name: str = "", width: int = 640, height: int = 400, ticks: int = 5) -> str:
+    """A line chart of named (x, y) series with axes, ticks and a legend."""
     points = [p for s in series.values() for p in s] or [(0.0, 0.0)]
     (x0, x1), (y0, y1) = ((min(v), max(v)) for v in zip(*points))
-    at = lambda x, y: f"{40 + (x - x0) / ((x1 - x0) or 1) * (width - 60):.1f},{height - 30 - (y - y0) / ((y1 - y0) or 1) * (height - 60):.1f}"
-    body = "".join(f'<polyline fill="none" stroke="hsl({360 * k // max(1, len(series))},60%,40%)" points="{" ".join(at(*p) for p in sorted(s))}"><title>{n}</title></polyline>' for k, (n, s) in enumerate(series.items()))
-    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}"><text x="10" y="16">{title}</text>{body}</svg>'
+    x_at = lambda x: 60 + (x - x0) / ((x1 - x0) or 1) * (width - 200)
+    y_at = lambda y: height - 50 - (y - y0) / ((y1 - y0) or 1) * (height - 90)
+    out = [f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}" font-size="11">', f'<text x="60" y="20" font-size="14">{escape(title)}</text>']
+    out.append(f'<path fill="none" stroke="#444" d="M60,{y_at(y1):.1f} V{height - 50} H{width - 140}"/>')
+    for k in range(ticks):
+        x, y = x0 + (x1 - x0) * k / (ticks - 1), y0 + (y1 - y0) * k / (ticks - 1)
+        out.append(f'<text x="{x_at(x):.1f}" y="{height - 34}" text-anchor="middle">{x:.4g}</text><text x="54" y="{y_at(y) + 4:.1f}" text-anchor="end">{y:.4g}</text>')
+    out.append(f'<text x="{x_at((x0 + x1) / 2):.1f}" y="{height - 12}" text-anchor="middle">{escape(x_name)}</text><text transform="translate(14,{height // 2}) rotate(-90)" text-anchor="middle">{escape(y_name)}</text>')
+    for k, (name, own) in enumerate(series.items()):
+        colour = f"hsl({360 * k // max(1, len(series))},60%,40%)"
+        out.append(f'<polyline fill="none" stroke="{colour}" points="{" ".join(f"{x_at(x):.1f},{y_at(y):.1f}" for x, y in sorted(own))}"/>')
+        out.append(f'<text x="{width - 130}" y="{40 + 16 * k}" fill="{colour}">{escape(name)}</text>')
+    return "".join(out) + "</svg>"

@@ -4,9 +4,11 @@ import random
 
 import numpy as np
 import pytest
+from scalar_codecs import decode_row, encode_row
 
 from nearfield import functions as fn
-from nearfield.operators import caching, codecs, graph, search, vectors
+from nearfield.operators import caching, codecs, graph, search, stores, vectors
+from nearfield.plans import numbered
 
 EDGES = [(0, 0, 1), (0, 1, 2), (1, 0, 2), (3, 0, 4)]
 
@@ -61,16 +63,70 @@ def test_orders_against_brute_force(spark):
 
 @pytest.mark.parametrize("codec", codecs.CODECS)
 def test_codec_round_trip(codec):
+    """Batches of equal degree against the scalar code, bit by bit."""
     rng = random.Random(12345)
     for u in (1, 2, 7, 1000, 1 << 20):
         rows = [[], [0], [u - 1], [0] * 4, [u - 1] * 10, [0, u - 1], list(range(min(64, u))), list(range(max(0, u - 64), u))]
         rows += [sorted(rng.randrange(u) for _ in range(rng.randint(0, 255))) for _ in range(60)]
-        for row in rows:
-            data, bits = codecs.encode_row(row, u, codec)
-            assert codecs.decode_row(data, len(row), u, codec) == row and len(data) == -(-bits // 8)
+        for degree in {len(r) for r in rows}:
+            own = [r for r in rows if len(r) == degree]
+            data, bits = codecs.encode_rows(np.array(own, np.int64).reshape(len(own), degree), u, codec)
+            assert [(d, b) for d, b in zip(data, bits.tolist())] == [encode_row(r, u, codec) for r in own]
+            assert codecs.decode_rows(data, degree, u, codec).tolist() == own == [decode_row(d, degree, u, codec) for d in data]
     for bad in (list(range(256)), [2, 1], [5]):
         with pytest.raises(ValueError):
-            codecs.encode_row(bad, 5 if len(bad) == 1 else 1000, codec)
+            codecs.encode_rows(np.array([bad]), 5 if len(bad) == 1 else 1000, codec)
+
+
+@pytest.mark.parametrize("name", stores.NAMES)
+def test_stores_give_back_their_rows(spark, name):
+    """Rows with repeats, without edges and at the end of the ids, in every store and in small parts."""
+    rng, n = random.Random(3), 70
+    rows = [(s, p, v) for s in range(n) if s % 7 for p, v in enumerate(sorted(rng.choice([rng.randrange(n), n - 1, 5]) for _ in range(rng.randint(1, 40))))]
+    hot = spark.range(9) if name == "tiers" else spark.createDataFrame([(3,), (50,), (14,)], "id long")
+    for offsets in ("raw32", "ef"):
+        store = stores.build(_edges(spark, rows), n, name, hot, partition=16, offsets=offsets)
+        assert stores.edges_of(store, n) == rows and store.bytes() > 0
+    empty = stores.build(_edges(spark, rows).where("src < 0"), 3, name, hot.where("id < 0"))
+    assert stores.edges_of(empty, 3) == []
+
+
+def test_stores_refuse_what_they_cannot_hold(spark):
+    with pytest.raises(ValueError):
+        stores.Rows("rowef", 10, np.array([1, 1]), np.array([1 << 31, 1 << 31]), np.array([b"", b""], object))
+    with pytest.raises(ValueError):
+        stores.build(_edges(spark), 5, "tiers", spark.createDataFrame([(3,)], "id long"))
+
+
+def test_neighbours_in_blocks(spark):
+    rng = np.random.default_rng(4)
+    base = spark.createDataFrame([(i, rng.integers(0, 4, 3).astype(float).tolist()) for i in range(80)], "id long, v array<double>")
+    q = base.selectExpr("id as q", "v").where("q % 3 = 0")
+    for metric in ("l2", "ip"):
+        whole, parts = (sorted(map(tuple, vectors.knn_exact(base, q, 5, metric, False, size).collect())) for size in (1000, 20))
+        assert whole == parts and len(whole) == 27 * 5
+
+
+def test_builders(spark):
+    """Degrees within bounds, every node reached, and nearly all neighbours found."""
+    rng = np.random.default_rng(5)
+    base = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(300)], "id long, v array<double>").cache()
+    entry = vectors.medoid(base)
+    q = base.where("id % 20 = 0").selectExpr("id as q", "v")
+    truth = vectors.knn_exact(base, q, 10).cache()
+    layers = vectors.hnsw(base, 8, 40)
+    for edges, most in ((vectors.vamana(base, 12, 40, 1.2, seed=64, entry=entry), 12), (vectors.nsg(base, 16, 40, entry), 60), (vectors.base_layer(layers), 16)):
+        rows = edges.collect()
+        size = {}
+        for r in rows:
+            assert r.src != r.dst
+            size[r.src] = size.get(r.src, 0) + 1
+        assert max(size.values()) <= most
+        edges = _edges(spark, [tuple(r) for r in rows])
+        if most != 16:
+            assert graph.bfs_levels(edges, entry, 300).where("level = 300").count() == 0
+        assert search.recall(search.beam_search(base, edges, q, 40, 10, entry), truth, 10).first().recall > 0.9
+    assert {r.level for r in layers.collect()} >= {0, 1}
 
 
 def test_payload_bits_are_the_encoded_bits(spark):
@@ -105,7 +161,7 @@ def test_layers_cost_a_hop_each_and_one_distance_at_the_start(spark):
 
 
 #: Queries whose SQL is compared here too; the smallest tables have as many vectors as the next.
-SEARCHES = ("robust_prune", "beam_search_layers", "profile_skew", "policy_hit_rate", "rank_corr", "level_share", "store_size_rowbic", "elias_fano_model", "rcm_order")
+SEARCHES = ("stored", "elias_fano_store", "cost_model", "hierarchy_files", "csr_files", "train_share", "row_violations", "robust_prune", "beam_search_layers", "profile_skew", "policy_hit_rate", "rank_corr", "level_share", "store_size_rowbic", "elias_fano_model", "rcm_order")
 
 
 @pytest.mark.parametrize("name", SEARCHES)
@@ -124,10 +180,11 @@ def test_queries_match_their_sql(spark, name):
 
 
 def test_search_matches_published_shape(spark):
-    from nearfield.queries import recall_sweep
-
-    got = {r.L: round(r.recall, 4) for r in recall_sweep(spark, "/root/testdata/sf0.01").collect()}
-    assert got == {10: 0.69, 32: 0.936, 64: 0.986}
+    """Held-out queries: ids divisible by 10 against the others, as the published figures are."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").selectExpr("vec_id", "cast(embedding as array<double>) as v")
+    base, q = numbered(rows.where("vec_id % 10 != 0"), "vec_id", name="id").select("id", "v").cache(), rows.where("vec_id % 10 = 0").selectExpr("vec_id as q", "v")
+    got = search.recall_sweep(base, vectors.knn_graph(base, 16).cache(), q, vectors.knn_exact(base, q, 10), [10, 32, 64], 10, vectors.medoid(base))
+    assert {r.L: round(r.recall, 4) for r in got.collect()} == {10: 0.69, 32: 0.936, 64: 0.986}
 
 
 def test_reports(spark):
@@ -154,3 +211,15 @@ def test_sources(spark, tmp_path):
     (tmp_path / "x.fbin").write_bytes(np.array([2, 2], "<u4").tobytes() + np.array([1, 2, 3, 4], "<f4").tobytes())
     assert [r.v for r in sources.read_matrix(spark, str(tmp_path / "x.fbin")).orderBy("id").collect()] == [[1.0, 2.0], [3.0, 4.0]]
     assert sources.markdown(spark.range(2)).count("\n") == 3
+    chart = sources.svg_lines({"a & b": [(0.0, 1.0), (2.0, 3.0)]}, "recall", "L", "us")
+    assert chart.count("<polyline") == 1 and "a &amp; b" in chart and ">L<" in chart and ">us<" in chart
+    sources.write_csr(_edges(spark), str(tmp_path / "w"), 6, {"start": 0})
+    assert sorted(map(tuple, sources.read_csr(spark, str(tmp_path / "w")).collect())) == EDGES
+    assert spark.read.json(str(tmp_path / "w_meta.json")).first().asDict() == {"start": 0, "num_points": 6, "nnz": 4, "max_degree": 2, "sorted": True}
+    assert np.fromfile(tmp_path / "w_offsets.bin", "<u8").tolist() == [0, 2, 3, 3, 4, 4, 4]
+    words = [1, 7, 0, 2, 3, 4, 1, 0]  # node 0: 7; node 1: none; node 2: 3, 4; node 3: 0
+    (tmp_path / "d.index").write_bytes(np.array([24 + 4 * len(words)], "<u8").tobytes() + np.array([3, 2], "<u4").tobytes() + np.array([0], "<u8").tobytes() + np.array(words, "<u4").tobytes())
+    got = sources.read_index_graph(spark, str(tmp_path / "d.index")).collect()
+    assert sorted((r.src, r.pos, r.dst) for r in got) == [(0, 0, 7), (2, 0, 3), (2, 1, 4), (3, 0, 0)] and {(r.start, r.max_degree) for r in got} == {(2, 3)}
+    (tmp_path / "log").write_text("hello\noffsets raw=100 B compressed=50 B\nneighbors raw=10 compressed=7\nTOTAL raw=110 compressed=57\nOK\n")
+    assert sorted(map(tuple, sources.read_log(spark, str(tmp_path / "log")).collect())) == [("TOTAL", 110, 57), ("neighbors", 10, 7), ("offsets", 100, 50)]
