@@ -7,6 +7,7 @@ own, so extra columns whose names clash with an operator's cannot disturb it.
 from __future__ import annotations
 
 import atexit
+import contextvars
 import ctypes
 import shutil
 import tempfile
@@ -42,19 +43,37 @@ def scratch_root(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """Write df to the shared folder as Parquet and read it back: later steps don't repeat its work.
 
-    lasting: release() leaves it.
+    lasting: no Scratch notes it.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}{'-kept' if lasting else ''}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if not lasting and _SCRATCH.get() is not None:
+        _SCRATCH.get().append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete this application's scratch tables; frames built on them can't be read afterwards."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    path.getFileSystem(conf).delete(path, True)
+_SCRATCH: contextvars.ContextVar = contextvars.ContextVar("scratch", default=None)
+
+
+class Scratch:
+    """Notes the tables that operators write while it is entered, so that release() deletes these and no others."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Scratch:
+        self._before = _SCRATCH.set(self.paths)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _SCRATCH.reset(self._before)
+
+    def release(self, spark: SparkSession) -> None:
+        """Delete the tables; frames built on them can't be read afterwards."""
+        while self.paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop())
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple = ()) -> DataFrame:
@@ -63,9 +82,24 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
 
 
-def arrow_map(df: DataFrame, fn: Callable, schema: str, rows: int = 0, carry: tuple = (), text_col: str = "text") -> DataFrame:
+def _gathered(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they have `least` bytes."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.nbytes
+        if n >= least:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def arrow_map(df: DataFrame, fn: Callable, schema: str, rows: int = 0, carry: tuple = (), text_col: str = "text", gather: int = 0) -> DataFrame:
     """mapInArrow over batches, cut into slices of `rows`; fn may return the columns as a dict. Empty batches are skipped.
 
+    gather: batches are put together until they have so many bytes, for work whose cost is by the batch.
+
     carry: columns of the input that go along unchanged, where fn returns one
     row for each of its own; df must come from id_text(..., carry).
     """
@@ -77,7 +111,7 @@ def arrow_map(df: DataFrame, fn: Callable, schema: str, rows: int = 0, carry: tu
     arrow_full = pa.schema([*arrow, *((f"_carry_{c}", _arrow(df.schema[at].dataType)) for c, at in along)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in _then_free(batches):
+        for whole in _then_free(_gathered(batches, gather) if gather else batches):
             for k in range(0, whole.num_rows, rows or whole.num_rows or 1):
                 batch = whole.slice(k, rows) if rows else whole
                 if (out := fn(batch)) is not None:
