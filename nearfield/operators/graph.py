@@ -72,6 +72,12 @@ def row_violations(edges: DataFrame, n: int, max_degree: int = 255) -> DataFrame
     return bad.union(back).union(many).distinct()
 
 
+def repeated_ids(edges: DataFrame) -> DataFrame:
+    """(rows, repeats): rows that name a neighbour more than once, and how many entries repeat an earlier one."""
+    own = edges.groupBy("src", "dst").agg((F.count("*") - 1).alias("more")).groupBy("src").agg(F.sum("more").alias("more"))
+    return own.agg(F.sum((F.col("more") > 0).cast("long")).alias("rows"), F.coalesce(F.sum("more"), F.lit(0)).alias("repeats"))
+
+
 def symmetrized(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src != dst").distinct()
 

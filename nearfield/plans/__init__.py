@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 
 def scratch_root(spark: SparkSession) -> str:
     """spark.checkpoint.dir, shared by all executors; in one machine's local mode a temporary folder where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_nearfield_plans", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_nearfield_scratch", None)
     if not root:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = spark._nearfield_plans = tempfile.mkdtemp(prefix="nearfield-")
+        root = spark._nearfield_scratch = tempfile.mkdtemp(prefix="nearfield-")
         atexit.register(shutil.rmtree, root, True)
-    return f"{root.rstrip('/')}/nearfield-plans-{spark.sparkContext.applicationId}"
+    return f"{root.rstrip('/')}/nearfield-{spark.sparkContext.applicationId}"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -30,6 +30,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete all tables that this application cut; frames built on them can't be read afterwards."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def numbered(df: DataFrame, *order: Column | str, name: str = "new_id", start: int = 0) -> DataFrame:
     """Rows numbered from start in the given total order, without a task that sees all rows.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import sources
-from .functions import normalized
+from .functions import distance, normalized
 from .operators import caching, codecs, graph, search, stores, vectors
 from .plans import cut, numbered, scratch_root
 
@@ -160,6 +160,20 @@ def row_violations(spark, d):
     return graph.row_violations(rows, s.n, 255)
 
 
+def repeated_ids(spark, d):
+    """Of the graph, and of its rows with every id halved, where neighbours meet."""
+    e = Study(spark, d).edges
+    halved = e.select("src", "pos", F.floor(F.col("dst") / 2).alias("dst"))
+    return _union(graph.repeated_ids(x).select(F.lit(name).alias("graph"), "rows", "repeats") for name, x in (("whole", e), ("halved", halved)))
+
+
+def edge_distances(spark, d):
+    """(src, dst, l2, ip) of every edge, by column functions."""
+    s = Study(spark, d)
+    rows = s.edges.join(s.base.select(F.col("id").alias("src"), F.col("v").alias("a")), "src").join(s.base.select(F.col("id").alias("dst"), F.col("v").alias("b")), "dst")
+    return rows.select("src", "dst", F.round(distance("l2")("a", "b"), 6).alias("l2"), F.round(distance("ip")("a", "b"), 6).alias("ip"))
+
+
 def payload_limits(spark, d):
     """No payload is near 2^32 bits here; half of the largest is a limit that some exceed."""
     s = Study(spark, d)
@@ -534,7 +548,8 @@ codec_roundtrip elias_fano_model beam_search beam_search_joins recall_sweep acce
 nav_layers beam_search_layers labeling_sweep latency_at_recall error_bars latency_percentiles cost_model payload_limits
 beam_search_packed beam_search_ef beam_search_rowef beam_search_rowbic beam_search_rowpack beam_search_tiers beam_search_slot_map beam_search_tiers_ef
 beam_search_joins_rowbic beam_search_layers_joins stored elias_fano_store train_share hot_labelings layer_policies sampled_queries vamana nsg hnsw
-run_record csr_files vector_files truth_files labeling_files profile_files hierarchy_files encoded_files row_decode""".split()
+run_record csr_files vector_files truth_files labeling_files profile_files hierarchy_files encoded_files row_decode
+repeated_ids edge_distances""".split()
 QUERIES = {name: globals()[name] for name in NAMES}
 
 #: Nodes, queries and the neighbour graph, as the queries above make them.
@@ -821,6 +836,11 @@ FROM (SELECT size, dists, row_number() OVER (PARTITION BY size ORDER BY dists) -
         _POLICIES,
     ),
     "run_record": _sql("SELECT L, recall, hops, dists FROM sweep", _SEARCH + _SWEEP),
+    "repeated_ids": _sql(
+        """SELECT graph, count(*) FILTER (more > 0) AS rows, sum(more)::BIGINT AS repeats FROM (SELECT graph, src, count(*) - count(DISTINCT dst) AS more FROM (
+ SELECT 'whole' AS graph, src, dst FROM edges UNION ALL SELECT 'halved', src, dst // 2 FROM edges) GROUP BY graph, src) GROUP BY graph"""
+    ),
+    "edge_distances": _sql("SELECT src, dst, round(power(list_distance(a.v, b.v), 2), 6) AS l2, round(-list_inner_product(a.v, b.v), 6) AS ip FROM edges JOIN base a ON a.id = src JOIN base b ON b.id = dst"),
     "csr_files": ORACLE_SQL["knn_graph"],
     "encoded_files": ORACLE_SQL["knn_graph"],
     "vector_files": _sql("SELECT id, v[1] AS v0, v[64] AS v63 FROM base"),

@@ -223,3 +223,22 @@ def test_sources(spark, tmp_path):
     assert sorted((r.src, r.pos, r.dst) for r in got) == [(0, 0, 7), (2, 0, 3), (2, 1, 4), (3, 0, 0)] and {(r.start, r.max_degree) for r in got} == {(2, 3)}
     (tmp_path / "log").write_text("hello\noffsets raw=100 B compressed=50 B\nneighbors raw=10 compressed=7\nTOTAL raw=110 compressed=57\nOK\n")
     assert sorted(map(tuple, sources.read_log(spark, str(tmp_path / "log")).collect())) == [("TOTAL", 110, 57), ("neighbors", 10, 7), ("offsets", 100, 50)]
+
+
+def test_access_counts_over_a_stream(spark, tmp_path):
+    """Windows of a stream of traces; a window is out when the watermark has passed it."""
+    from nearfield.streaming import access_counts
+
+    source = str(tmp_path / "in")
+
+    def add(*rows):
+        spark.createDataFrame([(i, f"2024-01-01 {t}") for i, t in rows], "id long, t string").selectExpr("id", "cast(t as timestamp) as ts").coalesce(1).write.mode("append").parquet(source)
+
+    add((1, "00:05:00"), (1, "00:20:00"), (2, "00:30:00"))
+    stream = access_counts(spark.readStream.schema("id long, ts timestamp").parquet(source))
+    for more in ((2, "01:30:00"), (1, "00:50:00"), (3, "03:00:00")):
+        add(more)
+    run = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).outputMode("append").trigger(availableNow=True).start()
+    assert run.awaitTermination(60)
+    out = {(str(r.start)[11:16], r.id): r.touch for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert out == {("00:00", 1): 3, ("00:00", 2): 1, ("01:00", 2): 1}
