@@ -19,6 +19,8 @@ import pkgutil
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Usual notices of well-known licences.
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
@@ -107,10 +109,11 @@ def scan_licenses(spark: SparkSession, files: DataFrame, threshold: float = 0.5,
     comments = F.filter(F.regexp_extract_all("text", F.lit(COMMENT), F.lit(0)), lambda x: x.contains("\n") & x.rlike(NOTICE))
     comments = F.when(F.col("is_license"), F.array().cast("array<string>")).otherwise(F.transform(comments, lambda x: F.regexp_replace(x, MARKS, " ")))
     as_units = lambda texts, kind: F.transform(texts, lambda x: F.struct(kind.alias("kind"), x.alias("text")))
-    spoken = files.where(F.col("is_license") | F.col("text").rlike(NOTICE))
     units = F.array_distinct(F.concat(as_units(lines, F.when(F.col("is_license"), "file").otherwise("line")), as_units(comments, F.lit("comment"))))
-    row = F.xxhash64("doc_id", "path", "text")  # equal rows have equal answers
-    spoken = spoken.select(row.alias("row"), "dir", "is_license", F.explode(units).alias("u")).select("row", "dir", "is_license", "u.kind", "u.text")
+    units = F.when(F.col("is_license") | F.col("text").rlike(NOTICE), units)
+    # texts are read once: what goes on is a number for each file, its directory, and the few units
+    files = materialize(files.select(F.monotonically_increasing_id().alias("row"), "doc_id", "dir", "is_license", units.alias("units")), "files")
+    spoken = files.select("row", "dir", "is_license", F.explode("units").alias("u")).select("row", "dir", "is_license", "u.kind", "u.text")
     notices = spoken.select("kind", "text").distinct().withColumn("unit", F.concat("kind", F.sha2("text", 256)))
 
     whole = full_texts() if templates is TEMPLATES else []
@@ -138,7 +141,7 @@ def scan_licenses(spark: SparkSession, files: DataFrame, threshold: float = 0.5,
     up = dirs.select("dir", F.explode(F.sequence(F.lit(0), F.when(F.col("dir") == "", 0).otherwise(F.size(parts)))).alias("depth")).withColumn("holder", F.array_join(F.slice(parts, 1, F.col("depth")), "/"))
     up = up.join(holders, "holder").groupBy("dir").agg(F.max_by(F.struct("up_license", "up_similarity"), "depth").alias("up"))
 
-    out = files.select("doc_id", "dir", row.alias("row")).join(own.select("row", "license", "similarity"), "row", "left").join(up, "dir", "left")
+    out = files.select("doc_id", "dir", "row").join(own.select("row", "license", "similarity"), "row", "left").join(up, "dir", "left")
     return out.select(
         "doc_id",
         F.coalesce("license", "up.up_license").alias("license"),
