@@ -470,7 +470,7 @@ def run_record(spark, d):
         runs.append(row)
     sources.write_run(_union(runs), f"{path}/raw.json", {"backend": "raw", "nodes": s.n, "edges": s.edges.count(), "graph_bytes": 8 * (s.n + 1) + 4 * s.edges.count()})
     doc = sources.read_results(spark, f"{path}/raw.json").select("name", "backend", "nodes", F.explode("runs").alias("r"))
-    return doc.where("name = 'raw' and backend = 'raw' and r.qps > 0 and r.p99_us >= r.p50_us").select(F.col("r.L").alias("L"), "r.recall", "r.hops", "r.dists")
+    return doc.where("name = 'raw' and backend = 'raw' and r.qps > 0 and r.p99_us >= r.p50_us").select(F.col("r.L").cast("int").alias("L"), "r.recall", "r.hops", "r.dists")
 
 
 def csr_files(spark, d):
