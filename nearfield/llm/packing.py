@@ -116,17 +116,17 @@ def pack(
     and empty texts are one piece, the end id alone. Rows with equal or null
     ids are packed each by itself; an empty table gives no rows.
     """
-    pieces = materialize(cut_pieces(docs, vocabulary, max_tokens, id_col=id_col, text_col=text_col), "pieces")
+    pieces = materialize(cut_pieces(docs, vocabulary, max_tokens, id_col=id_col, text_col=text_col).withColumn("_row", F.monotonically_increasing_id()), "pieces")
     total = pieces.agg(F.sum("length"), F.count("*")).first()
     groups = max(1, -(-(total[0] or 0) // group_tokens), -(-total[1] // group_pieces))
     caps = max_tokens, max_docs or max_tokens, float(max_attention or max_tokens * max_tokens)
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
+        group = group.sort_values(["length", "doc_id", "piece", "_row"], ascending=[False, True, True, True])
         bins, at = assign(group["length"].to_numpy(), *caps, rule, weights)
         group["sequence_id"], group["offset"] = group["grp"].to_numpy() * np.int64(1 << 32) + bins, at
-        return group.drop(columns="grp")
+        return group.drop(columns=["grp", "_row"])
 
-    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("long"))
+    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("_row"), F.lit(groups)).cast("long"))  # by row: equal rows don't meet
     kind = pieces.schema["doc_id"].dataType.simpleString()
     return dealt.groupBy("grp").applyInPandas(one, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
