@@ -260,22 +260,8 @@ def _in_text(raw: bytes, spans: list[tuple[int, int]], unit: str, length: int) -
     return [(at[s][0], at[e - 1][1]) for s, e in words if e - s >= length]
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, k: int | None = None, block: int = 4096, keep_text: bool = False, unit: str = "byte", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of docs.
-
-    Removed is each byte within a string of `length` bytes that also starts
-    anywhere else, in the same text or another; overlaps count, matches don't
-    cross texts. With keep_text the rows carry all their columns and kept_text
-    (what is left, without parts of characters at cuts). Null and empty texts,
-    and texts shorter than `length`, keep all; rows with equal or null ids are
-    texts of their own; an empty table gives no rows. k: bytes of an anchor,
-    by default a quarter of `length`. unit 'word': length counts words (runs of
-    bytes but ASCII white space, ASCII letters in either case alike), and what
-    is removed goes from the first word's start to the last one's end.
-    Very long texts are taken whole; extra columns are carried with keep_text.
-    """
-    least, length = length, length if unit == "byte" else length * CODE
-    k = k or max(1, length // 4)
+def _prepared(docs: DataFrame, length: int, k: int, block: int, unit: str, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(rows with their anchors, distinct texts, those that share anchors or cover themselves, contexts dealt by anchor); length counts bytes of units."""
 
     def scan(b: pa.RecordBatch) -> dict:
         out = {"doc_id": b.column(0), "tid": [], "n_bytes": [], "n_units": [], "sha": [], "anchors": [], "spans": []}
@@ -321,7 +307,29 @@ def remove_repeats(docs: DataFrame, length: int = 400, k: int | None = None, blo
     parts = F.ceil(F.col("n") / block).cast("int")
     met = met.withColumn("mine", F.pmod(F.xxhash64("tid", "pos"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     met = met.select("h", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "tid", "pos", "left", "right")
-    cut = _meet(met.repartition("h", "x", "y").sortWithinPartitions("h", "x", "y"), length, k).groupBy("tid").agg(F.collect_list(F.struct("start", "end")).alias("cuts"))
+    return base, texts, near, met.repartition("h", "x", "y").sortWithinPartitions("h", "x", "y")
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, k: int | None = None, block: int = 4096, keep_text: bool = False, unit: str = "byte", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of docs.
+
+    Removed is each byte within a string of `length` bytes that also starts
+    anywhere else, in the same text or another; overlaps count, matches don't
+    cross texts. With keep_text the rows carry all their columns and kept_text
+    (what is left, without parts of characters at cuts). Null and empty texts,
+    and texts shorter than `length`, keep all; rows with equal or null ids are
+    texts of their own; an empty table gives no rows. k: bytes of an anchor,
+    by default a quarter of `length`. unit 'word': length counts words (runs of
+    bytes but ASCII white space, ASCII letters in either case alike), and what
+    is removed goes from the first word's start to the last one's end.
+    Very long texts are taken whole; extra columns are carried with keep_text.
+    """
+    rows = id_text(docs, id_col, text_col)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    least, length = length, length if unit == "byte" else length * CODE
+    k = k or max(1, length // 4)
+    base, texts, near, met = _prepared(docs, length, k, block, unit, id_col, text_col)
+    cut = _meet(met, length, k).groupBy("tid").agg(F.collect_list(F.struct("start", "end")).alias("cuts"))
 
     def remove(b: pa.RecordBatch) -> dict:
         out = {c: [] for c in ("tid", "n_removed", "n_spans", "kept_sha256", "kept_text")}
@@ -358,3 +366,72 @@ def remove_repeats(docs: DataFrame, length: int = 400, k: int | None = None, blo
     if keep_text:
         columns += [F.when(all_, F.lit("")).otherwise(F.coalesce("kept_text", F.coalesce(F.col(text_col), F.lit("")))).alias("kept_text"), *carry]
     return out.select(*columns)
+
+
+def repeat_sets(left: list[bytes], right: list[bytes], length: int, k: int) -> Iterator[tuple[int, int, list[int]]]:
+    """(left, right, members) of each maximal string of `length` or more around one anchor: none of its members' extensions agrees for all of them."""
+    order = sorted(range(len(left)), key=right.__getitem__)
+    rights, r_len = _matrix([right[i] for i in order], max(map(len, right)))
+    lefts, l_len = _matrix([left[i] for i in order], max(1, *map(len, left)))
+    rank = np.empty(len(left), np.int64)
+    rank[sorted(range(len(left)), key=lambda i: left[order[i]])] = np.arange(len(left))
+    lcp = _agree(rights[1:], rights[:-1], np.minimum(r_len[1:], r_len[:-1]))
+    for value, first, last in prefix_intervals(lcp, k):
+        members = np.arange(first, last + 1)
+        members = members[np.argsort(rank[members])]
+        near = _agree(lefts[members[1:]], lefts[members[:-1]], np.minimum(l_len[members[1:]], l_len[members[:-1]]))
+        least = max(0, length - value)
+        spans = list(prefix_intervals(near, max(1, least))) + ([(0, 0, len(members) - 1)] if not least and not near.min() else [])
+        for before, lo, hi in spans:
+            own = members[lo : hi + 1]
+            if lcp[own.min() : own.max()].min() == value:  # else a deeper interval has them
+                yield before, value, np.asarray(order)[own].tolist()
+
+
+def repeat_groups(docs: DataFrame, length: int = 400, k: int | None = None, block: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(repeat, length, whole, doc_id, start): every occurrence of every maximal repeated string of `length` bytes or more.
+
+    repeat: a hash of the string; start in bytes. A string is taken where one of
+    its own anchors lies, which all of its occurrences share. Its contexts reach
+    `length` bytes to the right of that and `length` - k to the left: longer
+    strings come as pieces cut there (whole false). Inside a long periodic run
+    there are no anchors but near its ends; texts that are equal count as many
+    times as they occur. For an anchor with more contexts than `block`, maximal
+    means within a pair of blocks. Null, empty and short texts have none.
+    """
+    k = k or max(1, length // 4)
+    base, _, _, met = _prepared(docs, length, k, block, "byte", id_col, text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, []
+
+        def done():
+            seen: dict[tuple[bytes, bytes], list] = {}
+            for tid, pos, left, right in own:
+                seen.setdefault((left, right), []).append((tid, pos))
+            keys, out = list(seen), ([], [], [], [], [])
+            sets = list(repeat_sets([x[0] for x in keys], [x[1] for x in keys], length, k)) if len(keys) > 1 else []
+            sets += [(len(x[0]), len(x[1]), [i]) for i, x in enumerate(keys) if len(seen[x]) > 1 and len(x[0]) + len(x[1]) >= length]
+            for before, after, members in sets:
+                left, right = keys[members[0]]
+                text = left[:before][::-1] + right[:after]
+                if before in anchors(text, length, k)[0]:
+                    name, whole = xxhash.xxh3_128_digest(text), before < length - k and after < length
+                    for i in members:
+                        for tid, pos in seen[keys[i]]:
+                            for c, v in zip(out, (name, len(text), whole, tid, pos - before)):
+                                c.append(v)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.int64(), pa.bool_(), pa.binary(), pa.int64()))], names=["repeat", "length", "whole", "tid", "start"])
+
+        for batch in batches:
+            for h, x, y, *row in zip(*(batch.column(c).to_pylist() for c in range(7))):
+                if at != (h, x, y):
+                    if len(own) > 1:
+                        yield done()
+                    at, own = (h, x, y), []
+                own.append(row)
+        if len(own) > 1:
+            yield done()
+
+    found = met.mapInArrow(run, "repeat binary, length long, whole boolean, tid binary, start long").distinct()
+    return found.join(base.select("tid", "doc_id"), "tid").select("repeat", "length", "whole", "doc_id", "start")
