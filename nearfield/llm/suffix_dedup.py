@@ -350,21 +350,24 @@ def remove_repeats(docs: DataFrame, length: int = 400, k: int | None = None, blo
     result = changed.join(copied, "tid", "full")
     if keep_text:
         result = materialize(result, "cuts")
-        carry = tuple(c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "_tid", id_col))
-        kept = arrow_map(id_text(docs, id_col, text_col, carry), lambda b: {"doc_id": b.column(0), "_tid": [_tid(r) for r in raw_bytes(b)], "n_bytes": [len(r) for r in raw_bytes(b)]}, f"doc_id {kind}, _tid binary, n_bytes long", carry=carry, text_col=text_col)
-        base = kept.withColumnsRenamed({"_tid": "tid"}).withColumn("sha", F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
+        carry = tuple(c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", id_col) and not c.startswith("_own_"))
+        schema = f"doc_id {kind}, _own_tid binary, _own_bytes long"
+        kept = arrow_map(id_text(docs, id_col, text_col, carry), lambda b: {"doc_id": b.column(0), "_own_tid": [_tid(r) for r in raw_bytes(b)], "_own_bytes": [len(r) for r in raw_bytes(b)]}, schema, carry=carry, text_col=text_col)
+        base = kept.withColumn("_own_sha", F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
     else:
-        carry, base = (), base.select("doc_id", "tid", "n_bytes", "sha")
-    all_ = F.coalesce("copied", F.lit(False))
-    out = base.join(result, "tid", "left")
+        carry, base = (), base.select("doc_id", F.col("tid").alias("_own_tid"), F.col("n_bytes").alias("_own_bytes"), F.col("sha").alias("_own_sha"))
+    # names of their own, as what is carried can have any
+    own = result.select(F.col("tid").alias("_own_tid"), *(F.col(c).alias(f"_own_{c}") for c in result.columns if c != "tid"))
+    out, all_ = base.join(own, "_own_tid", "left"), F.coalesce("_own_copied", F.lit(False))
     columns = [
-        *["doc_id", "n_bytes"],
-        F.when(all_, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(all_, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(all_, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+        "doc_id",
+        F.col("_own_bytes").alias("n_bytes"),
+        F.when(all_, F.col("_own_bytes")).otherwise(F.coalesce("_own_n_removed", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(all_, 1).otherwise(F.coalesce("_own_n_spans", F.lit(0))).cast("long").alias("n_spans"),
+        F.when(all_, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("_own_kept_sha256", "_own_sha")).alias("kept_sha256"),
     ]
     if keep_text:
-        columns += [F.when(all_, F.lit("")).otherwise(F.coalesce("kept_text", F.coalesce(F.col(text_col), F.lit("")))).alias("kept_text"), *carry]
+        columns += [F.when(all_, F.lit("")).otherwise(F.coalesce("_own_kept_text", F.col(text_col), F.lit(""))).alias("kept_text"), *carry]
     return out.select(*columns)
 
 

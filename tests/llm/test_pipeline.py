@@ -131,3 +131,31 @@ def test_near_dedup_of_repeated_and_null_ids(spark, tmp_path):
     spark.createDataFrame(single, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/single.parquet")
     cut = c.suffix_dedup(spark, spark.read.parquet(f"{tmp_path}/single.parquet"), str(tmp_path)).collect()
     assert Counter((r.doc_id, r.text) for r in cut) == Counter((i, t or "") for i, t in want)
+
+
+def test_stages_take_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows and ids, columns named like results, empty tables."""
+    import corpus_pipeline as c
+    from nearfield.llm.common import materialize
+
+    rng, folder = random.Random(17), str(tmp_path)
+    long, item = " ".join(f"w{rng.randrange(9000)}" for _ in range(60_000)), " ".join(f"q{i}" for i in range(12))
+    rows = [(1, "a b c", "en", "s", 5), (1, "a b c", "en", "s", 5), (None, None, None, None, None), (2, "", "en", None, 0), (3, long, None, "s", None), (3, long, None, "s", None), (4, "x " + item, "en", "s", 1)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(*r, True, 7, 7, 7, 0.9, "t", 7, "u") for r in rows], f"{kind}, kept boolean, n_hit long, component_id long, piece int, score double, tid string, _row long, kept_text string")
+    spark.createDataFrame([(1, 0), (None, 1), (2, None), (2, 0)], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(0, item), (None, "a b c"), (1, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    one = rows[:1] + rows[2:5] + rows[6:]
+    empty = lambda r: (r[0], r[1] or "", r[2], r[3], len(r[1] or ""))
+    wants = [rows, one, [empty(r) for r in one], [empty(r) for r in one if r[0] != 4]]
+    for (name, stage), want in zip(c.STAGES, wants):
+        out = stage(spark, docs, folder)
+        assert out.columns == COLUMNS and Counter(map(tuple, out.collect())) == Counter(want), name
+        docs = materialize(out.selectExpr("*", *(f"7 as {x}" for x in ("kept", "n_hit", "score", "length", "offset", "tid", "n_bytes"))), name, lasting=True)
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    size = Counter()
+    for r in c.packing(spark, docs, folder).collect():
+        size[r.doc_id] += r.length
+    assert size == {r[0]: len(tok.encode(r[1], add_special_tokens=False).ids) + 1 for r in wants[-1]}
+    for name, stage in c.STAGES:
+        assert stage(spark, docs.where("false"), folder).count() == 0, name
