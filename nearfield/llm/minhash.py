@@ -257,7 +257,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, coordinates:
 
     posts = classes.select("cid", F.posexplode("sig").alias("pos", "value")).select("cid", F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key"))
     shared = posts.groupBy("key").agg(F.count("*").alias("df"), F.min("cid").alias("b")).where("df > 1")
-    own = posts.join(shared, "key").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("df", "key", "b"))).alias("p")).where(F.size("p") >= least)
+    own = posts.join(shared.hint("shuffle_hash"), "key").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("df", "key", "b"))).alias("p")).where(F.size("p") >= least)
     prefix = F.slice("p", 1, F.size("p") - (least - 1))  # the rarest of all, less those that nobody shares
     stars = own.select(F.col("cid").alias("a"), F.explode(F.array_distinct(F.transform(prefix, lambda x: x.b))).alias("b")).where("a != b")
     stars = materialize(stars, "stars")
