@@ -3,7 +3,7 @@
 A store is made from edges by Spark (rows coded in Arrow batches), then held as
 a few flat arrays that go to every worker; its size is checked before that.
 rows(ids) gives the neighbours of many nodes at once, as a matrix padded
-with -1. Sizes follow the reference rules: they are those of codecs.store_size.
+with -1. Sizes are those of codecs.store_size.
 """
 
 from __future__ import annotations
