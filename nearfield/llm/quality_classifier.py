@@ -4,9 +4,10 @@ Two naive Bayes views: the text's words and word shapes, hashed, and the page's
 metadata (language, source, size class). Each is a table of counts by class, so
 it is fitted by sums over all rows, added up in each task. In every round each
 view labels the rows that nobody labelled and that it is most sure of (a fixed
-share of all rows for each class, found with mergeable quantiles), and the
-other view is fitted anew with them. Last, both views are calibrated together
-on labelled rows that no fit has seen, and every document is scored.
+share of all rows for each class, counted exactly on a fine scale, ties taken
+whole), and the other view is fitted anew with them. Last, each view is
+calibrated on labelled rows that no fit has seen, the calibrated views are
+combined, and every document is scored.
 """
 
 from __future__ import annotations
@@ -28,15 +29,15 @@ RUNS = re.compile(rb"(.)\1+", re.S)
 
 
 def text_features(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of words and of word shapes, with how often (255 at most)."""
+    """Buckets of words and of word shapes, with how often."""
     words = raw.split()
     if not words:
-        return np.empty(0, np.uint16), np.empty(0, np.uint8)
+        return np.empty(0, np.uint16), np.empty(0, np.uint32)
     shapes = RUNS.sub(rb"\1", raw.translate(SHAPES)).split()
     h = np.concatenate((hash_words([w.lower() for w in words]) % np.uint64(BUCKETS - 1024), np.uint64(BUCKETS - 1024) + hash_words(shapes) % np.uint64(1024)))
     count = np.bincount(h.astype(np.int64), minlength=BUCKETS)
     at = np.flatnonzero(count)
-    return at.astype(np.uint16), np.minimum(count[at], 255).astype(np.uint8)
+    return at.astype(np.uint16), count[at].astype(np.uint32)
 
 
 def _meta(values: tuple) -> list[int]:
@@ -55,7 +56,7 @@ class Views:
         """Text log odds by the square root of the number of features, and metadata log odds, of each row."""
         texts, metas = np.zeros(b.num_rows), np.zeros(b.num_rows)
         for i, (at, n, meta) in enumerate(zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("at", "n", "meta")))):
-            at, n = np.frombuffer(at, np.uint16), np.sqrt(np.frombuffer(n, np.uint8))
+            at, n = np.frombuffer(at, np.uint16), np.sqrt(np.frombuffer(n, np.uint32))
             texts[i] = self.text[at] @ n / np.sqrt(n.sum() + 1)
             metas[i] = self.meta[meta].sum()
         return texts, metas
@@ -69,7 +70,7 @@ def _counts(rows: DataFrame, label) -> tuple[np.ndarray, np.ndarray]:
         for b in batches:
             for at, n, m, x, y in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("at", "n", "meta")), *label(b)):
                 if x >= 0:
-                    text[x, np.frombuffer(at, np.uint16)] += np.sqrt(np.frombuffer(n, np.uint8))
+                    text[x, np.frombuffer(at, np.uint16)] += np.sqrt(np.frombuffer(n, np.uint32))
                 if y >= 0:
                     meta[y, m] += 1
                 some = True
@@ -90,16 +91,46 @@ def _given(b: pa.RecordBatch) -> np.ndarray:
 
 def _calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Slopes, and last an intercept, of a lightly bound logistic fit; the rate of 1 where one class is missing."""
+    k = x.shape[1] + 1
     if len(set(y.tolist())) < 2:
         rate = (y.sum() + 1) / (len(y) + 2)
-        return np.array([0.0, 0.0, np.log(rate / (1 - rate))])
-    z, w = np.column_stack((x, np.ones(len(x)))), np.zeros(3)
+        return np.append(np.zeros(k - 1), np.log(rate / (1 - rate)))
+    z, w = np.column_stack((x, np.ones(len(x)))), np.zeros(k)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        w += np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 0.01 * np.eye(3), z.T @ (y - p) - 0.01 * w)
+        w += np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 0.01 * np.eye(k), z.T @ (y - p) - 0.01 * w)
     return w
 
 
+def _combined(text: np.ndarray, meta: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, meta, both): each view's slope and intercept, and the slopes and intercept over the two calibrated log odds."""
+    own = [_calibrate(x[:, None], y) for x in (text, meta)]
+    return *own, _calibrate(np.column_stack([x * w[0] + w[1] for x, w in zip((text, meta), own)]), y)
+
+
+def scale_of(x: np.ndarray) -> np.ndarray:
+    """The place of log odds on a scale of 256 steps a unit."""
+    return np.floor(np.clip(x, -64, 64) * 256).astype(np.int64)
+
+
+def sure(counts: dict[int, int], share: float) -> tuple[int, int] | None:
+    """(low, high): places at or beyond which at least `share` of the rows lie; None where both ends are one."""
+    places, n = sorted(counts), sum(counts.values())
+    if not n:
+        return None
+
+    def end(order: list[int]) -> int:
+        got = 0
+        for x in order:
+            got += counts[x]
+            if got >= share * n:
+                break
+        return x
+
+    low, high = end(places), end(places[::-1])
+    return (low, high) if low < high else None
+
+
 def co_train(docs: DataFrame, labels: DataFrame, rounds: int = 2, confident: float = 0.05, max_calibration: int = 20_000, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple = ("lang", "source", "n_chars")) -> DataFrame:
     """(doc_id, held_out, text_odds, meta_odds, score, kept) of every row of docs.
 
@@ -109,7 +140,8 @@ def co_train(docs: DataFrame, labels: DataFrame, rounds: int = 2, confident: flo
     most, a documented bound) and the rest fits the first views. score is the
     calibrated chance of quality 1, kept is score >= 0.5. Null texts are empty,
     null metadata is a value of its own, ids that are null have no label; rows
-    are kept as they are; an empty table gives no rows.
+    are kept as they are, repeated ones count each time; very long texts are
+    taken whole; extra columns aren't looked at; an empty table gives no rows.
     """
 
     def features(b: pa.RecordBatch) -> dict:
@@ -126,15 +158,17 @@ def co_train(docs: DataFrame, labels: DataFrame, rounds: int = 2, confident: flo
 
     views = Views(*_counts(rows, lambda b: (_given(b), _given(b))))
     for _ in range(rounds):
-        free = arrow_map(rows.where("quality is null"), lambda b, v=views: dict(zip(("text", "meta"), v.of(b))), "text double, meta double")
-        cuts = [confident, 1 - confident]
-        limits = free.agg(*(F.percentile_approx(c, cuts, 10_000).alias(c) for c in ("text", "meta"))).first()
-        if limits.text is None:
-            break
+        free = arrow_map(rows.where("quality is null"), lambda b, v=views: dict(zip(("text", "meta"), map(scale_of, v.of(b)))), "text long, meta long")
+        seen: dict[str, dict[int, int]] = {"text": {}, "meta": {}}  # 32,769 places a view at most
+        both = F.explode(F.array(*(F.struct(F.lit(c).alias("view"), F.col(c).alias("place")) for c in seen))).alias("x")
+        for r in free.select(both).groupBy("x.view", "x.place").count().collect():
+            seen[r.view][r.place] = r["count"]
+        limits = [sure(seen[c], confident) for c in ("text", "meta")]
 
         def label(b: pa.RecordBatch, v=views, limits=limits):
             given, free = _given(b), np.array(b.column(b.schema.get_field_index("quality")).is_null())
-            by = [np.where(free & (x > hi), 1, np.where(free & (x < lo), 0, -1)) for x, (lo, hi) in zip(v.of(b), (limits.text, limits.meta))]
+            none = np.full(len(given), -1)
+            by = [none if at is None else np.where(free & (x >= at[1]), 1, np.where(free & (x <= at[0]), 0, -1)) for x, at in zip(map(scale_of, v.of(b)), limits)]
             return np.where(given >= 0, given, by[1]), np.where(given >= 0, given, by[0])
 
         views = Views(*_counts(rows, label))
@@ -145,6 +179,7 @@ def co_train(docs: DataFrame, labels: DataFrame, rounds: int = 2, confident: flo
 
     scored = arrow_map(rows.select("doc_id", "fold", "quality", "at", "n", "meta"), odds, f"doc_id {kind}, fold long, quality long, text_odds double, meta_odds double")
     sample = scored.where("fold = 4 and quality is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "text_odds").limit(max_calibration).select("text_odds", "meta_odds", "quality").toPandas()
-    w = _calibrate(sample[["text_odds", "meta_odds"]].to_numpy(float), sample["quality"].to_numpy(float))
-    score = 1 / (1 + F.exp(-(w[0] * F.col("text_odds") + w[1] * F.col("meta_odds") + float(w[2]))))
+    text, meta, both = _combined(*(sample[c].to_numpy(float) for c in ("text_odds", "meta_odds", "quality")))
+    calibrated = [float(w[0]) * F.col(c) + float(w[1]) for w, c in ((text, "text_odds"), (meta, "meta_odds"))]
+    score = 1 / (1 + F.exp(-(float(both[0]) * calibrated[0] + float(both[1]) * calibrated[1] + float(both[2]))))
     return scored.select("doc_id", (F.col("fold") == 0).alias("held_out"), "text_odds", "meta_odds", score.alias("score"), (score >= 0.5).alias("kept"))
