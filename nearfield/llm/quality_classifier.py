@@ -40,6 +40,17 @@ def text_features(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return at.astype(np.uint16), count[at].astype(np.uint32)
 
 
+def _packed(n: np.ndarray) -> bytes:
+    """Counts of a byte each, or of four where one needs more."""
+    return n.astype(np.uint8 if n.max(initial=0) < 256 else np.uint32).tobytes()
+
+
+def _unpacked(at: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, square roots of counts)."""
+    at = np.frombuffer(at, np.uint16)
+    return at, np.sqrt(np.frombuffer(n, np.uint8 if len(n) == len(at) else np.uint32), dtype=float)
+
+
 def _meta(values: tuple) -> list[int]:
     lang, source, size = values
     return [zlib.crc32(repr(x).encode()) % META for x in (("lang", lang), ("source", source), ("size", None if size is None else int(size).bit_length()))]
@@ -56,7 +67,7 @@ class Views:
         """Text log odds by the square root of the number of features, and metadata log odds, of each row."""
         texts, metas = np.zeros(b.num_rows), np.zeros(b.num_rows)
         for i, (at, n, meta) in enumerate(zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("at", "n", "meta")))):
-            at, n = np.frombuffer(at, np.uint16), np.sqrt(np.frombuffer(n, np.uint32))
+            at, n = _unpacked(at, n)
             texts[i] = self.text[at] @ n / np.sqrt(n.sum() + 1)
             metas[i] = self.meta[meta].sum()
         return texts, metas
@@ -70,7 +81,8 @@ def _counts(rows: DataFrame, label) -> tuple[np.ndarray, np.ndarray]:
         for b in batches:
             for at, n, m, x, y in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("at", "n", "meta")), *label(b)):
                 if x >= 0:
-                    text[x, np.frombuffer(at, np.uint16)] += np.sqrt(np.frombuffer(n, np.uint32))
+                    at, n = _unpacked(at, n)
+                    text[x, at] += n
                 if y >= 0:
                     meta[y, m] += 1
                 some = True
@@ -146,13 +158,13 @@ def co_train(docs: DataFrame, labels: DataFrame, rounds: int = 2, confident: flo
 
     def features(b: pa.RecordBatch) -> dict:
         found = [text_features(r) for r in raw_bytes(b)]
-        return {"doc_id": b.column(0), "at": [x.tobytes() for x, _ in found], "n": [x.tobytes() for _, x in found], "meta": [_meta(v) for v in zip(*(b.column(c).to_pylist() for c in (2, 3, 4)))]}
+        return {"doc_id": b.column(0), "at": [x.tobytes() for x, _ in found], "n": [_packed(x) for _, x in found], "meta": [_meta(v) for v in zip(*(b.column(c).to_pylist() for c in (2, 3, 4)))]}
 
     rows = id_text(docs, id_col, text_col, carry=meta_cols)
     kind = rows.schema["doc_id"].dataType.simpleString()
     rows = arrow_map(rows, features, f"doc_id {kind}, at binary, n binary, meta array<int>", rows=1000)
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").cast("long").alias("quality")).where(fold(F.col("doc_id"), 5) != 0)
-    rows = rows.join(known, "doc_id", "left").withColumn("fold", fold(F.col("doc_id"), 5))
+    rows = rows.join(known.hint("merge"), "doc_id", "left").withColumn("fold", fold(F.col("doc_id"), 5))
     rows = rows.withColumn("given", F.when(F.col("fold") < 4, F.col("quality")))
     rows = materialize(rows.select("doc_id", "at", "n", "meta", "fold", "quality", "given"), "features")
 
