@@ -1,6 +1,7 @@
 """Small fixtures with ties, repeats and unreached nodes; brute force where SQL can't tell."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -242,3 +243,55 @@ def test_access_counts_over_a_stream(spark, tmp_path):
     assert run.awaitTermination(60)
     out = {(str(r.start)[11:16], r.id): r.touch for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert out == {("00:00", 1): 3, ("00:00", 2): 1, ("01:00", 2): 1}
+
+
+def _plain_nearest(ids, q, own, v, k, loops):
+    rows = []
+    for i, x in zip(ids.tolist(), q):
+        near = sorted((d, j) for d, j in zip(((v - x) ** 2).sum(1).tolist(), own.tolist()) if d < np.inf and (loops or j != i))
+        rows += [(i, j, d) for d, j in near[:k]]
+    return rows
+
+
+@pytest.mark.parametrize("kind", ["plain", "whole", "far", "copies", "odd", "few", "apart"])
+def test_screened_neighbours_are_the_nearest(kind):
+    """Products of matrices decide nothing: rows, order and distances are those of a plain loop, bit by bit."""
+    rng = np.random.default_rng(3)
+    v = rng.standard_normal((30 if kind == "few" else 1500, 8))
+    if kind == "whole":
+        v = rng.integers(0, 3, v.shape).astype(float)
+    if kind == "far":
+        v = 1e7 + 1e-3 * v
+    if kind == "copies":
+        v[:1400] = v[0]
+    if kind == "odd":
+        v[3], v[5], v[7] = np.nan, np.inf, 1e200
+    if kind == "apart":
+        v[::2] += 1e9
+    own = rng.permutation(len(v))
+    ids, q = own[:120], v[:120]
+    for loops in (True, False):
+        with np.errstate(all="ignore"):
+            got = vectors._nearest(ids, q, own, v, 40 if kind == "few" else 9, "l2", loops, some=50, wide=256)
+            want = _plain_nearest(ids, q, own, v, 40 if kind == "few" else 9, loops)
+        assert [tuple(r) for r in got.itertuples(index=False)] == want
+
+
+def test_neighbours_of_many_rows_take_seconds():
+    """80 million pairs in 64 dimensions: over 20 seconds when every pair's distance was taken and sorted."""
+    rng = np.random.default_rng(4)
+    v, began = rng.standard_normal((20_000, 64)), time.perf_counter()
+    got = vectors._nearest(np.arange(4000), v[:4000], np.arange(20_000), v, 16, "l2", False)
+    assert len(got) == 64_000 and time.perf_counter() - began < 10
+
+
+def test_both_sides_of_neighbours_can_go_to_every_task(spark):
+    """Rows are the same if base, the queries or neither is broadcast; repeated ids and an empty side too."""
+    rng = np.random.default_rng(5)
+    v = rng.integers(0, 4, (90, 3)).astype(float)
+    base = spark.createDataFrame([(i // 2, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    rows = lambda df: sorted((r.q, r["rank"], r.id) for r in df.collect())
+    for queries in (base.selectExpr("id as q", "v"), base.where("id < 5").selectExpr("id as q", "v"), base.where("id < 0").selectExpr("id as q", "v")):
+        whole = rows(vectors.knn_exact(base, queries, 4, loops=False))
+        assert whole == rows(vectors.knn_exact(base, queries, 4, loops=False, block_values=20))
+    assert rows(vectors.knn_exact(base.where("id < 0"), base.selectExpr("id as q", "v"), 4)) == []
