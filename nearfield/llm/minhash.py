@@ -12,7 +12,9 @@
    whatever a list's length. The collisions of these pairs are counted over all
    coordinates; pairs of `least` or more are confirmed on the full sets, and
    links are contracted to components.
-4. Members of all lists with the same smallest member are a group. Groups that
+4. Members of all lists with the same smallest member are a group, and a
+   member's home is the largest of its groups. Pairs with the same home meet
+   there; in the other groups only pairs of different homes do. Groups that
    still hold several components are counted: pairs of different components
    that collide in the prefix are merged over the other coordinates, those
    that can't reach `least` are skipped. Only members of a pair at or over
@@ -151,17 +153,17 @@ def collisions(sigs: np.ndarray, own: np.ndarray, least: int) -> np.ndarray:
 
 
 def links_between(members: list[tuple], percent: int, least: int) -> list[tuple[int, int]]:
-    """Links that join components, from members (cid, component, side, signature, set): at most one fewer than there are members.
+    """Links that join components, from members (cid, component, apart, side, signature, set): at most one fewer than there are members.
 
     Every pair of different components that collides in `least` coordinates is
-    compared exactly, on sides 0 and 1 only across; one member's intersections
+    compared exactly, unless their `apart` is equal, on sides 0 and 1 only across; one member's intersections
     with all others come from one pass over the shingles that occur twice. A
     pair whose components a link has already joined needs no other.
     """
-    sizes, sigs = np.array([len(m[4]) for m in members]), np.stack([m[3] for m in members])
-    comp, side = np.array([m[1] for m in members]), np.array([m[2] for m in members])
+    sizes, sigs = np.array([len(m[5]) for m in members]), np.stack([m[4] for m in members])
+    comp, apart, side = (np.array([m[k] for m in members]) for k in (1, 2, 3))
     owner = np.repeat(np.arange(len(members)), sizes)
-    _, ids, count = np.unique(np.concatenate([m[4] for m in members]), return_inverse=True, return_counts=True)
+    _, ids, count = np.unique(np.concatenate([m[5] for m in members]), return_inverse=True, return_counts=True)
     twice = count > 1
     place = np.cumsum(twice) - 1
     keep = twice[ids]
@@ -169,7 +171,7 @@ def links_between(members: list[tuple], percent: int, least: int) -> list[tuple[
     edges = np.searchsorted(owner, np.arange(len(members) + 1))
     mark, out = np.zeros(int(twice.sum()), bool), []
     for i in range(len(members) - 1):
-        open_ = _open(comp, side, i) & (100 * np.minimum(sizes[i + 1 :], sizes[i]) >= percent * np.maximum(sizes[i + 1 :], sizes[i]))
+        open_ = _open(comp, apart, side, i) & (100 * np.minimum(sizes[i + 1 :], sizes[i]) >= percent * np.maximum(sizes[i + 1 :], sizes[i]))
         if not open_.any() or edges[i] == edges[i + 1]:
             continue
         open_ &= collisions(sigs[i + 1 :], sigs[i], least)
@@ -187,9 +189,9 @@ def links_between(members: list[tuple], percent: int, least: int) -> list[tuple[
     return out
 
 
-def _open(comp: np.ndarray, side: np.ndarray, i: int) -> np.ndarray:
-    """Which members after i are of another component, and of the other side unless theirs is 2."""
-    found = comp[i + 1 :] != comp[i]
+def _open(comp: np.ndarray, apart: np.ndarray, side: np.ndarray, i: int) -> np.ndarray:
+    """Which members after i are of another component, with another `apart`, and of the other side unless theirs is 2."""
+    found = (comp[i + 1 :] != comp[i]) & (apart[i + 1 :] != apart[i])
     return found if side[i] == 2 else found & (side[i + 1 :] != side[i])
 
 
@@ -212,33 +214,61 @@ def _by_task(batches: Iterator[pa.RecordBatch], keys: int, coordinates: int) ->
 
 
 def _colliding(rows: DataFrame, least: int, coordinates: int) -> DataFrame:
-    """Of rows (b, x, y, cid, comp, side, sig), sorted by (b, x, y), those that collide with one of another component (b, x, y, cid)."""
+    """Of rows (b, x, y, cid, comp, apart, side, sig), sorted by (b, x, y), those that collide with one that is open to them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, own in _by_task(batches, 3, coordinates):
-            cids, comp, side = (np.array([m[k] for m in own]) for k in range(3))
-            sigs, met = np.stack([m[3] for m in own]), np.zeros(len(own), bool)
+            cids, comp, apart, side = (np.array([m[k] for m in own]) for k in range(4))
+            sigs, met = np.stack([m[4] for m in own]), np.zeros(len(own), bool)
             for i in range(len(own) - 1):
-                found = np.flatnonzero(_open(comp, side, i)) + i + 1
+                found = np.flatnonzero(_open(comp, apart, side, i)) + i + 1
                 found = found[collisions(sigs[found], sigs[i], least)] if len(found) else found
                 met[found], met[i] = True, met[i] or len(found) > 0
             if met.any():
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(met.sum(), k)) for k in key), pa.array(cids[met])], names=["b", "x", "y", "cid"])
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, coordinates * (met.sum() + 1), coordinates, dtype=np.int32)), pa.array(sigs[met].ravel()))
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(met.sum(), k)) for k in key), *(pa.array(c[met]) for c in (cids, comp, apart, side)), flat], names=["b", "x", "y", "cid", "comp", "apart", "side", "sig"])
 
-    return rows.mapInArrow(run, "b long, x long, y long, cid long")
+    return rows.mapInArrow(run, "b long, x long, y long, cid long, comp long, apart long, side long, sig array<int>")
 
 
 def _settle(rows: DataFrame, n: int, percent: int, least: int, coordinates: int) -> DataFrame:
-    """links_between() of each group of rows (b, x, y, cid, comp, side, sig, text), sorted by (b, x, y)."""
+    """links_between() of each group of rows (b, x, y, cid, comp, apart, side, sig, text), sorted by (b, x, y)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, own in _by_task(batches, 3, coordinates):
-            out = links_between([(*m[:4], shingles(m[4], n)) for m in own], percent, least)
+            out = links_between([(*m[:5], shingles(m[5], n)) for m in own], percent, least)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*out) if out else ((), ()))], names=["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _dealt(groups: DataFrame, block: int, block_shingles: int, homes: bool) -> DataFrame:
+    """(b, x, y, cid, comp, apart, side) of groups (b, cid, size, comp, apart) that hold open pairs, dealt to pairs of blocks (x, y).
+
+    Rows of equal `apart` needn't meet. With homes, those of a large group's
+    most frequent `apart` have blocks of their own, which meet others' blocks
+    only: such a row is sent once for each of those.
+    """
+    parts = lambda n, size: F.greatest(F.ceil(F.col(n) / block), F.ceil(F.col(size) / block_shingles)).cast("int")
+    of = groups.groupBy("b", "apart").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    of = of.groupBy("b").agg(F.count("*").alias("aparts"), F.sum("n").alias("n"), F.sum("size").alias("all"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max(F.struct("n", "apart", "size")).alias("most"))
+    of = of.where("aparts > 1 and lo != hi").withColumn("split", F.lit(homes) & (parts("n", "all") > 1)).select(
+        "b",
+        F.when(F.col("split"), F.col("most.apart")).alias("main"),
+        F.when(F.col("split"), F.col("n") - F.col("most.n")).otherwise(F.col("n")).alias("rest"),
+        F.when(F.col("split"), F.col("all") - F.col("most.size")).otherwise(F.col("all")).alias("rest_size"),
+        F.when(F.col("split"), F.col("most.n")).otherwise(0).alias("n"),
+        F.when(F.col("split"), F.col("most.size")).otherwise(0).alias("all"),
+    )
+    rows = _salted(groups, "cid", of.select("b", "main", parts("rest", "rest_size").alias("others"), parts("n", "all").alias("mains")))
+    main = F.coalesce(F.col("apart") == F.col("main"), F.lit(False))
+    hashed = lambda n: F.pmod(F.xxhash64("cid"), F.greatest(F.col(n), F.lit(1))).cast("int")
+    rows = rows.withColumn("mine", F.when(main, F.col("others") + hashed("mains")).otherwise(hashed("others")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1 + F.when(main, 0).otherwise(F.col("mains")))))
+    side = F.when(F.col("mine") == F.col("other"), 2).otherwise((F.col("mine") < F.col("other")).cast("int"))
+    return rows.select("b", F.least("mine", "other").cast("long").alias("x"), F.greatest("mine", "other").cast("long").alias("y"), "cid", "comp", "apart", side.alias("side"))
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, coordinates: int = 64, least: int = 30, block: int = 512, block_shingles: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs.
 
@@ -288,21 +318,20 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, coordinates:
     links = materialize(_confirm(pairs, texts, n, percent), "links")
     labels = materialize(connected_components(links), "labels")
 
-    groups = stars.union(stars.select(F.col("b").alias("a"), "b").distinct()).join(labels.select(F.col("node").alias("a"), "component"), "a", "left")
-    groups = groups.select("b", F.col("a").alias("cid"), F.coalesce("component", "a").alias("comp")).join(classes.select("cid", "size"), "cid")
-    groups = materialize(groups, "groups")
-    mixed = groups.groupBy("b").agg(F.count("*").alias("n"), F.sum("size").alias("all"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("n > 2 and lo != hi")
-    open_ = _salted(groups, "cid", mixed.select("b", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("all") / block_shingles)).cast("int").alias("parts"))).withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
-    open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    side = F.when(F.col("mine") == F.col("other"), 2).otherwise((F.col("mine") < F.col("other")).cast("int"))
-    open_ = open_.select("b", F.least("mine", "other").cast("long").alias("x"), F.greatest("mine", "other").cast("long").alias("y"), "cid", "comp", side.alias("side"))
-    rows = open_.join(classes.select("cid", "sig"), "cid").select("b", "x", "y", "cid", "comp", "side", "sig")
-    met = materialize(_colliding(rows.repartition("b", "x", "y").sortWithinPartitions("b", "x", "y"), least, coordinates), "colliding")
-    if met.limit(1).count():
-        more = texts_of(met.select("cid").distinct().join(texts.select("cid"), "cid", "left_anti"), "more_texts")
-        rows = rows.join(met, ["b", "x", "y", "cid"]).join(texts.union(more), "cid").select("b", "x", "y", "cid", "comp", "side", "sig", "text")
-        more = materialize(_settle(rows.repartition("b", "x", "y").sortWithinPartitions("b", "x", "y"), n, percent, least, coordinates), "more")
-        labels = materialize(connected_components(links.union(more)), "labels")
+    members = stars.union(stars.select(F.col("b").alias("a"), "b").distinct()).select("b", F.col("a").alias("cid")).join(classes.select("cid", "size"), "cid")
+    members = members.withColumn("n", F.count("*").over(Window.partitionBy("b")))
+    home = F.max(F.struct("n", "b")).over(Window.partitionBy("cid"))["b"]
+    members = materialize(members.withColumn("home", home).select("b", "cid", "size", "home"), "members")
+    for homes in (False, True):  # first pairs with the same home, each in one group; then the other pairs
+        own = members.withColumn("apart", F.col("home")) if homes else members.where("b = home").withColumn("apart", F.col("cid"))
+        groups = own.join(labels.select(F.col("node").alias("cid"), "component"), "cid", "left").select("b", "cid", "size", F.coalesce("component", "cid").alias("comp"), "apart")
+        rows = _dealt(materialize(groups, "groups"), block, block_shingles, homes).join(classes.select("cid", "sig"), "cid").select("b", "x", "y", "cid", "comp", "apart", "side", "sig")
+        met = materialize(_colliding(rows.repartition("b", "x", "y").sortWithinPartitions("b", "x", "y"), least, coordinates), "colliding")
+        if met.limit(1).count():
+            texts = texts.union(texts_of(met.select("cid").distinct().join(texts.select("cid"), "cid", "left_anti"), "more_texts"))
+            rows = met.join(texts, "cid").select("b", "x", "y", "cid", "comp", "apart", "side", "sig", "text")
+            links = links.union(materialize(_settle(rows.repartition("b", "x", "y").sortWithinPartitions("b", "x", "y"), n, percent, least, coordinates), "more"))
+            labels = materialize(connected_components(links), "labels")
 
     label = classes.select("cid", "fp", "rep", "copies").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     label = materialize(label, "label")

@@ -270,3 +270,51 @@ def test_maximal_repeats_with_all_occurrences(spark):
     for x in got:
         assert got[x] == at[x] and (not whole[x] or x in maximal)
     assert {x for x in maximal if len(x) == n and len({raws[d] for d, _ in at[x]}) > 1} <= set(got) and sum(len(x) > n for x in got) > 0
+
+
+def test_a_pair_of_a_large_group_is_sent_in_one_group_only(spark):
+    """120 rows in five groups of all: pairs meet in the home, and in the other groups only with rows that have another home."""
+    from pyspark.sql import functions as F
+
+    from nearfield.llm import minhash
+
+    rows = [(b, cid, 10, cid, 0 if cid < 115 else 1) for b in range(5) for cid in range(120)]
+    groups = spark.createDataFrame(rows, "b long, cid long, size long, comp long, apart long")
+    dealt = [(r.b, r.x, r.y, r.cid, r.side, r.apart) for r in minhash._dealt(groups, 10, 1000, True).collect()]
+    assert len(dealt) == 5 * (115 + 5 * 13)  # 5 * 120 * 12 when all blocks met all
+    own, met = {}, set()
+    for b, x, y, cid, side, apart in dealt:
+        own.setdefault((b, x, y), []).append((cid, side, apart))
+    for task in own.values():
+        met |= {frozenset((p[0], q[0])) for p in task for q in task if p[2] != q[2] and (p[1] == 2 or p[1] != q[1])}
+    assert met == {frozenset((i, j)) for i in range(115) for j in range(115, 120)}
+    homes = minhash._dealt(groups.where("b = 0").withColumn("apart", F.col("cid")), 10, 1000, False)
+    own = {}
+    for r in homes.collect():
+        own.setdefault((r.x, r.y), []).append((r.cid, r.side))
+    met = {frozenset((p[0], q[0])) for task in own.values() for p in task for q in task if p[0] != q[0] and (p[1] == 2 or p[1] != q[1])}
+    assert len(met) == 120 * 119 // 2
+
+
+@pytest.mark.parametrize("block", [4, 512])
+def test_links_of_chained_copies_in_several_groups(spark, block):
+    """Copies of copies, far from the group's smallest member: components are those of all pairs."""
+    from nearfield.llm import minhash
+
+    rng, words = random.Random(8), [f"w{i}" for i in range(400)]
+    texts = [[rng.choice(words) for _ in range(60)]]
+    for i in range(70):
+        t = list(texts[rng.randrange(len(texts))])
+        for _ in range(rng.randint(1, 4)):
+            t[rng.randrange(60)] = rng.choice(words)
+        texts.append(t)
+    sets = [{tuple(t[i : i + 5]) for i in range(56)} for t in texts]
+    least = list(range(len(texts)))
+    for _ in least:
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets):
+                if 100 * len(x & y) >= 75 * len(x | y):
+                    least[i] = least[j] = min(least[i], least[j])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, block=block).collect()}
+    assert got == dict(enumerate(least)) and 1 < len(set(least)) < len(texts)
