@@ -311,3 +311,13 @@ def test_mismatches_of_a_store_are_counted_by_arrays():
     degrees, began = np.full(100_000, 16), time.perf_counter()
     assert stores.mismatches(stores.EliasFanoGraph(degrees, ids.ravel(), 100_000, 1024), (degrees, ids.ravel()), 100_000) == 0
     assert time.perf_counter() - began < 20
+
+
+def test_a_query_makes_only_what_it_needs(spark, monkeypatch):
+    """sampled_queries reads vectors; it waited for the neighbour graph."""
+    from nearfield import queries
+
+    queries._STUDIES.clear()
+    monkeypatch.setattr(vectors, "knn_graph", None)
+    assert queries.sampled_queries(spark, "/root/testdata/sf0.001").count() == 5
+    queries._STUDIES.clear()
