@@ -341,3 +341,21 @@ def test_many_roots_are_walked_from_at_once(spark):
     began = time.perf_counter()
     assert _order(graph.cm_directed_order(_edges(spark, rows), 7, n)) == order
     assert time.perf_counter() - began < 90
+
+
+def test_a_search_by_joins_writes_once_a_hop(spark):
+    """Rows are the broadcast search's, repeats in rows too; the state of a hop was written twice, and what ended with it again."""
+    from pathlib import Path
+
+    from nearfield.plans import scratch_root
+
+    base = spark.createDataFrame([(i, [float(i), float(i % 3)]) for i in range(12)], "id long, v array<double>")
+    e = _edges(spark, [(i, p, v) for i in range(12) for p, v in enumerate(sorted([max(0, i - 1), min(11, i + 1), min(11, i + 1)]))])
+    q = spark.createDataFrame([(0, [10.0, 0.0]), (1, [2.0, 1.0])], "q long, v array<double>")
+    rows = lambda df: sorted((r.q, r["rank"], r.id, r.hops, r.dists) for r in df.collect())
+    want, root = rows(search.beam_search(base, e, q, 4, 3, 0)), Path(scratch_root(spark).removeprefix("file:"))
+    for codec in (None, "rowbic"):
+        before = len([*root.rglob("_SUCCESS")])
+        found = search.beam_search_joins(base, e, q, 4, 3, 0, codec=codec)
+        assert len([*root.rglob("_SUCCESS")]) - before <= max(r[3] for r in want) + 1
+        assert rows(found) == want
