@@ -9,9 +9,12 @@ from xml.sax.saxutils import escape
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans import cut
+
 
 def read_raw(spark: SparkSession, path: str, kind: str = "<u4", chunk: int = 1 << 20) -> DataFrame:
     """(pos, value) of a headerless array file; its size must be a multiple of the item's."""
@@ -124,6 +127,21 @@ def _in_order(df: DataFrame, order: list[str], cols: list[str], some: int = 1 <<
         yield held
 
 
+def _packed(df: DataFrame, order: list[str], column: str, kind: str):
+    """A column's bytes in order, packed where the rows are: no Python object a row. Numbers that kind can't hold are refused."""
+    least, most = (np.iinfo(kind).min, np.iinfo(kind).max) if np.dtype(kind).kind in "iu" else (-np.inf, np.inf)
+
+    def pack(batches):
+        for batch in batches:
+            x = batch.column(0).to_numpy(zero_copy_only=False)
+            if batch.column(0).null_count or len(x) and not (least <= x.min() and x.max() <= most):
+                raise ValueError(f"{column}: null or out of the range of {kind}")
+            yield pa.RecordBatch.from_arrays([pa.array([x.astype(kind).tobytes()], pa.binary())], names=["data"])
+
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).select(column).mapInArrow(pack, "data binary")
+    return (bytes(r.data) for r in rows.toLocalIterator(prefetchPartitions=True))
+
+
 def write_matrix(df: DataFrame, path: str, kind: str = "<f4") -> None:
     """A file that read_matrix reads, of rows (id, v) in the order of id; all rows must have one length."""
     n, low, high = df.agg(F.count("*"), F.min(F.size("v")), F.max(F.size("v"))).first()
@@ -135,15 +153,15 @@ def write_matrix(df: DataFrame, path: str, kind: str = "<f4") -> None:
 
 def write_raw(df: DataFrame, path: str, kind: str = "<u4") -> None:
     """A headerless array file of rows (pos, value) in the order of pos."""
-    _put(df.sparkSession, path, (np.array([r.value for r in some], kind).tobytes() for some in _in_order(df, ["pos"], ["value"])))
+    _put(df.sparkSession, path, _packed(df, ["pos"], "value", kind))
 
 
 def write_csr(edges: DataFrame, prefix: str, n: int, meta: dict, sort: bool = True) -> None:
     """prefix_offsets.bin, prefix_neighbors.bin and prefix_meta.json that read_csr restores, nodes without edges too; rows ascend unless sort is false."""
     from ..operators.graph import csr_offsets
 
-    _put(edges.sparkSession, f"{prefix}_offsets.bin", (np.array([r.off for r in some], "<u8").tobytes() for some in _in_order(csr_offsets(edges, n), ["id"], ["off"])))
-    _put(edges.sparkSession, f"{prefix}_neighbors.bin", (np.array([r.dst for r in some], "<u4").tobytes() for some in _in_order(edges, ["src", "dst" if sort else "pos"], ["dst"])))
+    _put(edges.sparkSession, f"{prefix}_offsets.bin", _packed(csr_offsets(edges, n), ["id"], "off", "<u8"))
+    _put(edges.sparkSession, f"{prefix}_neighbors.bin", _packed(edges, ["src", "dst" if sort else "pos"], "dst", "<u4"))
     most = edges.groupBy("src").count().agg(F.max("count")).first()[0] or 0
     write_json({**meta, "num_points": n, "nnz": edges.count(), "max_degree": most, "sorted": sort}, f"{prefix}_meta.json", edges.sparkSession)
 
@@ -178,7 +196,7 @@ def write_labeling(edges: DataFrame, perm: DataFrame, hot: DataFrame, prefix: st
     """What a hot-first labelling leaves: relabelled CSR, prefix_perm.bin (old id of each new one), prefix_hot.u32 (old ids) and the metadata."""
     from ..operators.graph import relabel
 
-    write_csr(relabel(edges, perm), prefix, n, {**meta, "hot_count": hot.count()})
+    write_csr(cut(relabel(edges, perm)), prefix, n, {**meta, "hot_count": hot.count()})
     write_raw(perm.select(F.col("new_id").alias("pos"), F.col("old_id").alias("value")), f"{prefix}_perm.bin")
     write_raw(hot.select(F.col("id").alias("pos"), F.col("id").alias("value")), f"{prefix}_hot.u32")
 

@@ -359,3 +359,15 @@ def test_a_search_by_joins_writes_once_a_hop(spark):
         found = search.beam_search_joins(base, e, q, 4, 3, 0, codec=codec)
         assert len([*root.rglob("_SUCCESS")]) - before <= max(r[3] for r in want) + 1
         assert rows(found) == want
+
+
+def test_arrays_are_packed_where_the_rows_are(spark, tmp_path, monkeypatch):
+    """Files of numbers came to the driver as a Python object a row; what a kind can't hold is refused."""
+    from nearfield import sources
+
+    monkeypatch.setattr(sources, "_in_order", None)
+    rows = spark.range(30_000).selectExpr("29999 - id as pos", "id * 7 as value")
+    sources.write_raw(rows, str(tmp_path / "x.u32"))
+    assert np.fromfile(tmp_path / "x.u32", "<u4").tolist() == [7 * (29_999 - i) for i in range(30_000)]
+    with pytest.raises(Exception, match="out of the range"):
+        sources.write_raw(rows.selectExpr("pos", "value - 1 as value"), str(tmp_path / "y.u32"))
