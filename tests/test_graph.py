@@ -371,3 +371,36 @@ def test_arrays_are_packed_where_the_rows_are(spark, tmp_path, monkeypatch):
     assert np.fromfile(tmp_path / "x.u32", "<u4").tolist() == [7 * (29_999 - i) for i in range(30_000)]
     with pytest.raises(Exception, match="out of the range"):
         sources.write_raw(rows.selectExpr("pos", "value - 1 as value"), str(tmp_path / "y.u32"))
+
+
+@pytest.mark.parametrize("values", [1 << 20, 1])
+def test_prune_by_ids_and_by_joins(spark, values):
+    """Vectors sent or joined, rows are those of a plain loop; copies and unknown ids are among the candidates."""
+    rng = np.random.default_rng(9)
+    v = rng.integers(0, 3, (50, 4)).astype(float)
+    base = spark.createDataFrame([(2 * i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    pairs = [(2 * int(a), int(b)) for a in range(50) for b in rng.integers(0, 104, 20)]
+    want = []
+    for a in range(50):
+        own = sorted({b for s, b in pairs if s == 2 * a and b % 2 == 0 and b < 100 and b != s}, key=lambda b: (np.sqrt(((v[b // 2] - v[a]) ** 2).sum()), b))
+        kept, left = [], own
+        while left and len(kept) < 5:
+            kept.append(left[0])
+            left = [b for b in left[1:] if 1.2 * np.sqrt(((v[b // 2] - v[kept[-1] // 2]) ** 2).sum()) > np.sqrt(((v[b // 2] - v[a]) ** 2).sum())]
+        want += [(2 * a, p, b) for p, b in enumerate(sorted(kept))]
+    got = vectors.robust_prune(base, spark.createDataFrame(pairs, "src long, dst long"), 5, 1.2, block_values=values)
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_long_rows_are_searched_in_bounded_memory():
+    """A row of 20,000 neighbours: 64 queries that expand it took gigabytes."""
+    import tracemalloc
+
+    rng, n = np.random.default_rng(2), 20_000
+    v = rng.standard_normal((n, 32))
+    store = stores.Raw(np.array([n - 1] + [0] * (n - 1)), np.arange(1, n))
+    tracemalloc.start()
+    search.search_together(v, store, [], v[:64], 10, 0, "l2")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 << 20
