@@ -5,6 +5,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from scalar_codecs import decode_row, encode_row
 
 from nearfield import functions as fn
@@ -404,3 +405,66 @@ def test_long_rows_are_searched_in_bounded_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 300 << 20
+
+
+def test_walks_over_arrays_are_those_by_joins(spark):
+    """Repeats, several roots and rows out of order; an id outside 0 to n - 1 is left to the joins."""
+    rng = random.Random(9)
+    n = 12
+    rows = [(u, p, rng.randrange(n)) for u in range(0, n, 2) for p in (3, 0, 1) if rng.random() < 0.6] + [(0, 7, 2), (0, 8, 2), (5, 0, 5)]
+    e = _edges(spark, rows)
+    for walk in (lambda **x: graph.bfs_levels(e, 0, n, **x), lambda **x: graph.bfs_order(e, 0, n, **x), lambda **x: graph.cm_directed_order(e, 2, n, **x), lambda **x: graph.cm_directed_order(e, None, n, **x), lambda **x: graph.rcm_order(e, n, **x)):
+        held, joined = walk(), walk(held_bytes=0)
+        assert held.dtypes == joined.dtypes
+        assert sorted(map(tuple, held.collect())) == sorted(map(tuple, joined.collect()))
+    assert graph._held(_edges(spark, [(0, 0, n)]), n, 1 << 20) is None
+
+
+def test_a_store_is_sent_once_for_searches_of_all_sizes(spark):
+    """Searches that share what goes to the workers return the rows of those that don't, on every store."""
+    base, queries = _vectors_of_tests(spark)
+    edges, entry = vectors.knn_graph(base, 6), vectors.medoid(base)
+    for store in ("raw", "rowef"):
+        held = search.hold(base, edges, store)
+        for size in (5, 12):
+            alone = search.beam_search(base, edges, queries, size, 5, entry, store=store)
+            assert sorted(alone.collect()) == sorted(search.beam_search(base, edges, queries, size, 5, entry, store=store, held=held).collect())
+
+
+def _vectors_of_tests(spark):
+    return vectors.with_queries(spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet"))
+
+
+def test_numbers_need_no_join(spark):
+    got = numbered(spark.range(100).repartition(7), F.desc("id"), name="at", start=5)
+    assert sorted((r.id, r.at) for r in got.collect()) == [(i, 104 - i) for i in range(100)]
+    assert "Join" not in got._jdf.queryExecution().toString()
+    assert numbered(spark.range(0), "id").count() == 0
+
+
+def test_pruning_is_dealt_to_all_cores(spark):
+    """Ids are few bytes, so joining small partitions would leave the work to one task."""
+    base, _ = _vectors_of_tests(spark)
+    candidates = vectors.knn_graph(base, 12).select("src", "dst")
+    pruned = vectors.robust_prune(base, candidates, 4)
+    assert pruned.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert sorted(pruned.collect()) == sorted(vectors.robust_prune(base, candidates, 4, block_values=0).collect())
+
+
+def test_policies_are_made_only_where_asked_for(spark, monkeypatch):
+    from nearfield.queries import Study
+
+    study = Study(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(graph, "bfs_levels", lambda *a: pytest.fail("no levels were asked for"))
+    own = study.policies(spark.range(study.n).select("id", F.lit(1).alias("expand")), ("freq", "indeg", "random"))
+    assert list(own) == ["freq", "indeg", "random"] and all(p.count() == study.n for p in own.values())
+
+
+def test_long_rows_take_fewer_queries_together(spark):
+    """A row of all nodes, as nsg makes of nodes that nothing leads to: the same rows as by joins, and a bounded matrix."""
+    base, queries = _vectors_of_tests(spark)
+    n = base.count()
+    edges = _edges(spark, [(0, i - 1, i) for i in range(1, n)])
+    assert search.hold(base, edges).together == min(search.TOGETHER, search.CELLS // (n - 1))
+    found = search.beam_search(base, edges, queries, 8, 5, 0)
+    assert sorted(found.collect()) == sorted(search.beam_search_joins(base, edges, queries, 8, 5, 0).select(*found.columns).collect())
