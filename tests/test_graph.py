@@ -468,3 +468,22 @@ def test_long_rows_take_fewer_queries_together(spark):
     assert search.hold(base, edges).together == min(search.TOGETHER, search.CELLS // (n - 1))
     found = search.beam_search(base, edges, queries, 8, 5, 0)
     assert sorted(found.collect()) == sorted(search.beam_search_joins(base, edges, queries, 8, 5, 0).select(*found.columns).collect())
+
+
+def test_a_round_of_joins_takes_several_hops(spark):
+    """Every hop was a round; queries of one name are searches of their own, as in the broadcast search."""
+    from pathlib import Path
+
+    from nearfield.plans import scratch_root
+
+    base = spark.createDataFrame([(i, [float(i), float(i % 3)]) for i in range(12)], "id long, v array<double>")
+    e = _edges(spark, [(i, p, v) for i in range(12) for p, v in enumerate(j for j in range(12) if j != i)])
+    q = spark.createDataFrame([(0, [10.0, 0.0]), (0, [2.0, 1.0]), (3, [6.0, 1.0])], "q long, v array<double>")
+    layers = spark.createDataFrame([(1, 0, 4), (1, 4, 0), (1, 4, 9), (1, 9, 4)], "level int, src long, dst long")
+    root = Path(scratch_root(spark).removeprefix("file:"))
+    for layer_edges, codec in ((None, None), (layers, "rowbic")):
+        want = sorted(search.beam_search(base, e, q, 6, 3, 0, layer_edges=layer_edges).collect())
+        before = len([*root.rglob("_SUCCESS")])
+        found = search.beam_search_joins(base, e, q, 6, 3, 0, layer_edges=layer_edges, codec=codec)
+        assert len([*root.rglob("_SUCCESS")]) - before < max(r.hops for r in want)
+        assert sorted(found.collect()) == want
