@@ -96,12 +96,12 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 def read_hierarchy(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(layers, layer edges, entry) of a hierarchy's JSON, top level 0 first; see operators.search.nav_layers."""
-    doc = spark.read.option("multiLine", True).json(path)
+    doc = spark.read.schema("levels array<struct<nodes: array<long>, offsets: array<long>, neighbors: array<long>>>, entry long").option("multiLine", True).json(path)
     levels = doc.select(F.posexplode("levels").alias("level", "x"))
     layers = levels.select("level", F.posexplode("x.nodes").alias("local_id", "node_id"))
-    spans = levels.select("level", "x.neighbors", F.posexplode(F.slice("x.offsets", 1, F.size("x.offsets") - 1)).alias("src_local", "first"), F.col("x.offsets").alias("offsets"))
-    edges = spans.select("level", "src_local", F.explode(F.expr("slice(neighbors, int(first) + 1, int(offsets[src_local + 1] - first))")).alias("dst_local"))
-    return layers, edges, doc.select("entry")
+    row = "slice(x.neighbors, int(x.offsets[i]) + 1, int(x.offsets[i + 1] - x.offsets[i]))"  # cut where the arrays are: they would be copied to every row of theirs
+    spans = levels.select("level", F.posexplode(F.expr(f"transform(slice(x.offsets, 2, size(x.offsets)), (last, i) -> {row})")).alias("src_local", "ids"))
+    return layers, spans.select("level", "src_local", F.explode("ids").alias("dst_local")), doc.select("entry")
 
 
 def _put(spark: SparkSession, path: str, parts) -> None:

@@ -487,3 +487,18 @@ def test_a_round_of_joins_takes_several_hops(spark):
         found = search.beam_search_joins(base, e, q, 6, 3, 0, layer_edges=layer_edges, codec=codec)
         assert len([*root.rglob("_SUCCESS")]) - before < max(r.hops for r in want)
         assert sorted(found.collect()) == want
+
+
+def test_a_hierarchy_is_read_without_looking_for_its_schema(spark, tmp_path):
+    """The document was parsed once more for its schema, and each row of a layer took the layer's arrays along."""
+    from nearfield import sources
+
+    layers = spark.createDataFrame([(0, 4), (1, 4), (1, 2), (1, 9)], "level int, id long")
+    edges = spark.createDataFrame([(1, 2, 9), (1, 9, 2), (1, 9, 4)], "level int, src long, dst long")
+    sources.write_hierarchy(layers, edges, 4, "indeg", f"{tmp_path}/h.json")
+    spark.sparkContext.setJobGroup("hierarchy", "")
+    nodes, rows, entry = sources.read_hierarchy(spark, f"{tmp_path}/h.json")
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("hierarchy")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(map(tuple, nodes.collect())) == [(0, 0, 4), (1, 0, 2), (1, 1, 4), (1, 2, 9)] and entry.first().entry == 0
+    assert sorted(map(tuple, rows.collect())) == [(1, 0, 2), (1, 2, 0), (1, 2, 1)]
