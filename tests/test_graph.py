@@ -502,3 +502,26 @@ def test_a_hierarchy_is_read_without_looking_for_its_schema(spark, tmp_path):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert sorted(map(tuple, nodes.collect())) == [(0, 0, 4), (1, 0, 2), (1, 1, 4), (1, 2, 9)] and entry.first().entry == 0
     assert sorted(map(tuple, rows.collect())) == [(1, 0, 2), (1, 2, 0), (1, 2, 1)]
+
+
+def test_queries_descend_layers_together():
+    """A hop reads the rows of all queries that go on; it was a read for each."""
+    rng = np.random.default_rng(5)
+    v, q = rng.normal(size=(40, 3)), rng.normal(size=(30, 3))
+    ids = np.sort(rng.integers(0, 40, (40, 4)), axis=1)
+    layers, reads = [stores.Raw(np.full(40, 4), ids.ravel()), stores.Raw(np.zeros(40, np.int64), np.empty(0, np.int64))], []
+    want = []
+    for x in q:
+        at, hops, dists = 7, 0, 1
+        for rows in (ids, np.empty((40, 0), int)):
+            while True:
+                d = ((v[rows[at]] - x) ** 2).sum(1)
+                hops, dists = hops + 1, dists + len(d)
+                if not len(d) or d.min() >= ((v[at] - x) ** 2).sum():
+                    break
+                at = int(rows[at][d.argmin()])
+        want.append((at, hops, dists))
+    for layer in layers:
+        layer.rows = (lambda own: lambda at: reads.append(len(at)) or own(at))(layer.rows)
+    assert list(zip(*(x.tolist() for x in search._descend(v, layers, q, 7, "l2")))) == want
+    assert len(reads) <= max(h for _, h, _ in want) and sum(reads) == sum(h for _, h, _ in want)
