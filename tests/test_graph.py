@@ -525,3 +525,13 @@ def test_queries_descend_layers_together():
         layer.rows = (lambda own: lambda at: reads.append(len(at)) or own(at))(layer.rows)
     assert list(zip(*(x.tolist() for x in search._descend(v, layers, q, 7, "l2")))) == want
     assert len(reads) <= max(h for _, h, _ in want) and sum(reads) == sum(h for _, h, _ in want)
+
+
+def test_layers_of_a_study_are_made_once(spark, monkeypatch):
+    """Every query that descends layers, or writes them, made them anew."""
+    from nearfield import queries
+
+    study = queries.Study(spark, "/root/testdata/sf0.001")
+    assert study.layers is study.layers
+    monkeypatch.setattr(vectors, "knn_graph", lambda *a: pytest.fail("the layers were there"))
+    assert queries.Study(spark, "/root/testdata/sf0.001").layers[1].count() > 0
