@@ -535,3 +535,15 @@ def test_layers_of_a_study_are_made_once(spark, monkeypatch):
     assert study.layers is study.layers
     monkeypatch.setattr(vectors, "knn_graph", lambda *a: pytest.fail("the layers were there"))
     assert queries.Study(spark, "/root/testdata/sf0.001").layers[1].count() > 0
+
+
+def test_policies_are_numbered_together(spark, monkeypatch):
+    """Each policy was numbered in jobs of its own; scores can be of several kinds, and a policy can be without nodes."""
+    calls, own = [], caching.numbered
+    monkeypatch.setattr(caching, "numbered", lambda *a, **k: calls.append(a) or own(*a, **k))
+    scores = lambda values, kind: spark.createDataFrame(list(enumerate(values)), f"id long, score {kind}")
+    policies = {"long": scores([1, 5, 5, None], "long"), "text": scores(["a", "c", "b", "d"], "string"), "none": scores([], "double"), "double": scores([0.5, 0.1, 0.2, 0.9], "double")}
+    used = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (3, 4)], "id long, expand long")
+    got = {(r.policy, r.hot_nodes): r.hit for r in caching.policy_hit_rates(policies, used, 4, (0.25, 0.5)).collect()}
+    assert got == {("long", 1): 0.2, ("long", 2): 0.5, ("text", 1): 0.4, ("text", 2): 0.6, ("none", 1): 0.0, ("none", 2): 0.0, ("double", 1): 0.4, ("double", 2): 0.5}
+    assert len(calls) == 1
