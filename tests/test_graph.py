@@ -547,3 +547,11 @@ def test_policies_are_numbered_together(spark, monkeypatch):
     got = {(r.policy, r.hot_nodes): r.hit for r in caching.policy_hit_rates(policies, used, 4, (0.25, 0.5)).collect()}
     assert got == {("long", 1): 0.2, ("long", 2): 0.5, ("text", 1): 0.4, ("text", 2): 0.6, ("none", 1): 0.0, ("none", 2): 0.0, ("double", 1): 0.4, ("double", 2): 0.5}
     assert len(calls) == 1
+
+
+def test_rows_of_neighbours_are_numbered_where_they_are_found(spark):
+    """They went through two windows; ties and blocks give the same rows."""
+    base = spark.createDataFrame([(i, [float(i % 5), float(i % 3)]) for i in range(60)], "id long, v array<double>")
+    rows = vectors.knn_graph(base, 4)
+    assert "Window" not in rows._jdf.queryExecution().toString()
+    assert sorted(rows.collect()) == sorted(vectors.knn_graph(base, 4, block_values=50).collect())
