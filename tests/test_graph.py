@@ -555,3 +555,33 @@ def test_rows_of_neighbours_are_numbered_where_they_are_found(spark):
     rows = vectors.knn_graph(base, 4)
     assert "Window" not in rows._jdf.queryExecution().toString()
     assert sorted(rows.collect()) == sorted(vectors.knn_graph(base, 4, block_values=50).collect())
+
+
+def test_a_closed_entry_makes_no_long_rows(spark):
+    """A group of near copies at the entry: all other nodes hung on it, in rows as long as the table. Exact copies: a row held its copy only."""
+    rng = np.random.default_rng(4)
+    v = np.vstack((rng.normal(size=(1, 8)) * 0.01 + rng.normal(size=(30, 8)) * 1e-4, rng.normal(size=(400, 8))))
+    for x in (v, np.repeat(v[20:120], 4, axis=0), np.repeat(v[25:29], 100, axis=0)):
+        n = len(x)
+        base = spark.createDataFrame([(i, y.tolist()) for i, y in enumerate(x)], "id long, v array<double>").cache()
+        edges = vectors.nsg(base, 8, 12, 0).cache()
+        assert graph.bfs_levels(edges, 0, n).where(F.col("level") == n).count() == 0
+        assert edges.count() == edges.select("src", "dst").distinct().count()
+        assert graph.degree_stats(edges, n).first().max_degree <= 40
+    base, q = (spark.createDataFrame([(i, y.tolist()) for i, y in enumerate(v)], f"{name} long, v array<double>") for name in ("id", "q"))
+    found = search.beam_search(base, vectors.nsg(base, 8, 12, 0), q.where("q % 10 = 0"), 40, 10, 0)
+    assert search.recall(found, vectors.knn_exact(base, q.where("q % 10 = 0"), 10), 10).first().recall > 0.85
+
+
+def test_single_precision_is_held_in_half_the_bytes(spark, monkeypatch):
+    """Vectors of floats beyond the limit in doubles were searched by joins; rows are the same, and those of real doubles still go by joins."""
+    rng = np.random.default_rng(6)
+    rows = [(i, x.tolist()) for i, x in enumerate(rng.normal(size=(200, 16)).astype(np.float32).astype(float))]
+    base, queries = (spark.createDataFrame(rows, f"{name} long, v array<double>") for name in ("id", "q"))
+    edges = vectors.knn_graph(base, 8)
+    want = search.hold(base, edges)
+    assert want.vectors.value[1].dtype == np.float32
+    monkeypatch.setattr(stores, "BROADCAST_BYTES", 8 * 200 * 16)
+    assert search.hold(base, edges) and not search.hold(base.withColumn("v", F.transform("v", lambda x: x / 3)), edges)
+    found = search.beam_search(base, edges, queries, 10, 5, 0)
+    assert sorted(found.collect()) == sorted(search.beam_search_joins(base, edges, queries, 10, 5, 0).select(*found.columns).collect())
