@@ -585,3 +585,23 @@ def test_single_precision_is_held_in_half_the_bytes(spark, monkeypatch):
     assert search.hold(base, edges) and not search.hold(base.withColumn("v", F.transform("v", lambda x: x / 3)), edges)
     found = search.beam_search(base, edges, queries, 10, 5, 0)
     assert sorted(found.collect()) == sorted(search.beam_search_joins(base, edges, queries, 10, 5, 0).select(*found.columns).collect())
+
+
+def test_vamana_leaves_few_tables(spark):
+    """Tables of earlier rounds are deleted; candidates are pruned where they are found, to the same rows."""
+    from pathlib import Path
+
+    from nearfield.plans import scratch_root
+
+    base, _ = _vectors_of_tests(spark)
+    root = Path(scratch_root(spark).removeprefix("file:"))
+    before = set(root.iterdir()) if root.exists() else set()
+    edges = vectors.vamana(base, 8, 16, seed=10, entry=0)
+    assert len(set(root.iterdir()) - before) <= 4
+    assert graph.bfs_levels(edges, 0, base.count()).where(F.col("level") == base.count()).count() == 0
+    order = base.select(F.col("id").alias("q"), "v")
+    known = vectors.knn_graph(base, 6)
+    held = search.hold(base, known)
+    seen = search.beam_search(base, known, order, 16, 16, 0, trace=True, held=held).where("expand = 1").select(F.col("q").alias("src"), F.col("id").alias("dst"))
+    want = vectors.robust_prune(base, seen.union(known.select("src", "dst")), 8, 1.2).select("src", "dst")
+    assert sorted(search.searched_rows(held, order, 16, 0, 8, 1.2).collect()) == sorted(want.collect())
